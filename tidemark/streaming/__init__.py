@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The workload this library covers is batch only: it has no streams, watermarks, sessions or late
+data.  Its one incremental idea, collecting only events that are not stored yet, is an anti join
+and lives in :mod:`tidemark.sources.store`.
+"""
