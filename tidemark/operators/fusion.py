@@ -66,7 +66,6 @@ def complete_schema(matrix: DataFrame, columns=settings.FEATURE_COLUMNS) -> Data
             return F.lit(0.0)
         kind = matrix.schema[name].dataType.simpleString()
         value = F.col(name).cast("int") if kind == "boolean" else F.col(name)
-        return F.coalesce(F.try_cast(value, "double") if hasattr(F, "try_cast")
-                          else value.try_cast("double"), F.lit(0.0))
+        return F.coalesce(value.try_cast("double"), F.lit(0.0))
 
     return matrix.withColumns({c: number(c) for c in columns})

@@ -19,6 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.runtime import ship_by_value
+
+ship_by_value(__name__)
+
 _SLACK = 1e-9      # relative slack on pruning bounds against floating-point error
 
 

@@ -12,6 +12,9 @@ from tidemark import settings
 from tidemark.functions.lexicon import POLARITY_LEXICON, TONE_LEXICON, Lexicon
 from tidemark.functions.numeric import softmax
 from tidemark.functions.text import chunks, share_of, tokens
+from tidemark.runtime import ship_by_value
+
+ship_by_value(__name__)
 
 _SENTIMENT = settings.TEXT_FEATURES[:4]
 _SHARPNESS = 20.0      # weight of a hit share in the bundled scorer's logits

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
@@ -53,3 +55,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_by_value(module: str) -> None:
+    """Send the module's Python functions to executors with the task, so that none of them needs
+    this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
