@@ -31,7 +31,11 @@ def word_count(text: Column) -> Column:
 
 
 def long_enough(text: Column, min_words: int = settings.MIN_FILING_WORDS) -> Column:
-    return word_count(text) >= min_words
+    """At least ``min_words`` words; stops reading a text once that many are seen."""
+    if min_words < 1:
+        return text.isNotNull()
+    pattern = rf"(?U)\A\s*+(?:\S++\s++){{{min_words - 1}}}\S"
+    return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
@@ -39,11 +43,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
-def share_of(token_array: Column, terms: Iterable[str]) -> Column:
-    """Fraction of the tokens that are in ``terms``; 0 when there are no tokens."""
-    wanted = list(terms)
-    hits = F.size(F.filter(token_array, lambda t: t.isin(wanted)))
-    return hits / F.greatest(F.size(token_array), F.lit(1))
+def only(token_array: str, terms: Iterable[str]) -> str:
+    """SQL text: the tokens that are in ``terms``, repeats included."""
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+    return f"filter({token_array}, t -> t in ({quoted}))"
 
 
 def html_to_text(html: Column) -> Column:
@@ -56,12 +59,11 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, _SPACE, " "))
 
 
-def chunks(token_array: Column, size: int = settings.CHUNK_TOKENS) -> Column:
-    """The token array cut into consecutive pieces of ``size``; the last may be shorter."""
-    pieces = F.ceil(F.size(token_array) / F.lit(size)).cast("int")
-    starts = F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(token_array, i * size + 1, F.lit(size)))
+def chunks(token_array: str, size: int = settings.CHUNK_TOKENS) -> str:
+    """SQL text: the token array cut into consecutive pieces of ``size``, the last maybe shorter."""
+    pieces = f"cast(ceil(size({token_array}) / {size}) as int)"
+    starts = f"if({pieces} > 0, sequence(0, {pieces} - 1), cast(array() as array<int>))"
+    return f"transform({starts}, i -> slice({token_array}, i * {size} + 1, {size}))"
 
 
 def zero_padded(number: Column, width: int = 10) -> Column:

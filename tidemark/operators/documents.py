@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ def filings_with_fallback(events: DataFrame, filings: DataFrame,
     )
 
 
-def pick_filing(events: DataFrame, filings: DataFrame, payload: Iterable[str],
+def pick_filing(events: DataFrame, filings: DataFrame, payload: Sequence[str],
                 usable: Column, window_days: int = settings.FILING_WINDOW_DAYS,
                 fallback_days: int = settings.FILING_FALLBACK_DAYS,
                 preference: Iterable[str] = settings.FORM_TYPES,
@@ -72,24 +72,20 @@ def pick_filing(events: DataFrame, filings: DataFrame, payload: Iterable[str],
     window narrow but is never picked.  Everything is one aggregation that combines before its
     shuffle; events without a pick do not appear.
     """
-    preference = list(preference)
-    rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("form"))
-    narrow = F.col("gap_days") <= window_days
-    eligible = (rank > 0) & usable
-    order = F.struct(rank, -F.unix_date("filing_date"), F.col("ord"))
-    chosen = F.struct("accession", "form", "filing_date", *payload)
-    best = (
-        filings_near(events, filings, fallback_days, causal)
-        .groupBy(*EVENT)
-        .agg(
-            F.count_if(narrow).alias("_n_near"),
-            F.min_by(chosen, F.when(eligible & narrow, order)).alias("_near"),
-            F.min_by(chosen, F.when(eligible, order)).alias("_wide"),
-        )
-    )
-    pick = F.when(F.col("_n_near") > 0, F.col("_near")).otherwise(F.col("_wide"))
-    return (best.select(*EVENT, pick.alias("_pick")).where(F.col("_pick").isNotNull())
-            .select(*EVENT, "_pick.*"))
+    forms = ", ".join(f"'{p}'" for p in preference)
+    near = filings_near(events, filings.withColumn("_usable", usable), fallback_days, causal)
+    ranked = near.selectExpr(
+        *EVENT, f"gap_days <= {int(window_days)} as _narrow",
+        f"if(_usable and form in ({forms}), struct(array_position(array({forms}), form) as a,"
+        " -unix_date(filing_date) as b, ord as c), null) as _order",
+        f"struct(accession, form, filing_date, {', '.join(payload)}) as _doc"
+        if payload else "struct(accession, form, filing_date) as _doc")
+    best = ranked.groupBy(*EVENT).agg(
+        F.expr("count_if(_narrow) as _n_near"),
+        F.expr("min_by(_doc, if(_narrow, _order, null)) as _near"),
+        F.expr("min_by(_doc, _order) as _wide"))
+    return (best.selectExpr(*EVENT, "if(_n_near > 0, _near, _wide) as _pick")
+            .where("_pick is not null").select(*EVENT, "_pick.*"))
 
 
 def primary_or_alternate(documents: DataFrame, key: str = "accession",

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import settings
-from tidemark.functions.numeric import relative_change
 from tidemark.operators.windows import rows_around
 
 
@@ -27,21 +25,19 @@ def bar_sequence(windowed: DataFrame, horizons: Iterable[int] = settings.TARGET_
     ``prev_close``, ``simple_return``, ``log_return`` and ``lead_{h}``.  The window is cut before
     looking at neighbours, so nothing outside of it can leak in.
     """
-    order = W.partitionBy("ticker", "event_date").orderBy("date")
-    prev_date = F.lag("date").over(order)
-    rows = windowed.select(
+    order = "over (partition by ticker, event_date order by date)"
+    return windowed.selectExpr(
         "ticker", "event_date", "date", "open", "close", "volume",
-        F.lag("close").over(order).alias("prev_close"),
-        (F.col("date") < F.col("event_date")).alias("is_pre"),
-        ((F.col("date") >= F.col("event_date"))
-         & (prev_date.isNull() | (prev_date < F.col("event_date")))).alias("is_event_bar"),
-        *[F.lead("close", h).over(order).alias(f"lead_{h}") for h in horizons],
+        f"lag(close) {order} as prev_close",
+        f"lag(date) {order} as prev_date",
+        *[f"lead(close, {int(h)}) {order} as lead_{int(h)}" for h in horizons],
+    ).selectExpr(
+        "* except (prev_date)",
+        "date < event_date as is_pre",
+        "date >= event_date and coalesce(prev_date < event_date, true) as is_event_bar",
+        "try_divide(close, prev_close) - 1 as simple_return",
+        "ln(try_divide(close, prev_close)) as log_return",
     )
-    close, prev = F.col("close"), F.col("prev_close")
-    return rows.withColumns({
-        "simple_return": relative_change(close, prev),
-        "log_return": F.ln(F.try_divide(close, prev)),
-    })
 
 
 def price_features(windowed: DataFrame, horizons: Iterable[int] = settings.TARGET_HORIZONS
@@ -52,32 +48,26 @@ def price_features(windowed: DataFrame, horizons: Iterable[int] = settings.TARGE
     event; the gap falls back to the event bar's own open-to-close move when there is no usable
     previous close; a forward return needs its bar inside the window.
     """
-    horizons = list(horizons)
-    pre, event = F.col("is_pre"), F.col("is_event_bar")
-    enough = F.count_if(pre) >= 3
-    dollars = F.col("close") * F.col("volume")
-    gap = F.when(
-        F.coalesce(F.col("prev_close"), F.lit(0.0)) != 0,
-        relative_change(F.col("open"), F.col("prev_close")),
-    ).otherwise(relative_change(F.col("close"), F.col("open")))
-    return (
-        bar_sequence(windowed, horizons)
-        .groupBy("ticker", "event_date")
-        .agg(
-            (F.product(F.when(pre, 1 + F.col("simple_return"))) - 1)
-            .alias("pre_earnings_momentum"),
-            F.when(enough, F.stddev_samp(F.when(pre, F.col("log_return"))))
-            .alias("pre_earnings_volatility"),
-            F.max(F.when(event, gap)).alias("post_earnings_gap"),
-            F.try_divide(F.max(F.when(event, F.col("volume"))),
-                         F.avg(F.when(pre, F.col("volume")))).alias("volume_spike"),
-            F.when(enough, F.avg(F.when(
-                pre & (dollars > 0), F.try_divide(F.abs("simple_return"), dollars))))
-            .alias("amihud_illiquidity"),
-            *[F.max(F.when(event, relative_change(F.col(f"lead_{h}"), F.col("close"))))
-              .alias(f"ret_{h}d") for h in horizons],
-        )
-    )
+    horizons = [int(h) for h in horizons]
+    aggregates = {
+        "pre_earnings_volatility":
+            "if(count_if(is_pre) >= 3, stddev_samp(log_return) filter (where is_pre), null)",
+        "post_earnings_gap":
+            "max(if(coalesce(prev_close, 0) <> 0, try_divide(open, prev_close),"
+            " try_divide(close, open)) - 1) filter (where is_event_bar)",
+        "volume_spike":
+            "try_divide(max(volume) filter (where is_event_bar),"
+            " avg(volume) filter (where is_pre))",
+        "amihud_illiquidity":
+            "if(count_if(is_pre) >= 3, avg(try_divide(abs(simple_return), close * volume))"
+            " filter (where is_pre and close * volume > 0), null)",
+        **{f"ret_{h}d": f"max(try_divide(lead_{h}, close) - 1) filter (where is_event_bar)"
+           for h in horizons},
+    }
+    momentum = F.product(F.expr("if(is_pre, 1 + simple_return, null)")) - 1
+    return bar_sequence(windowed, horizons).groupBy("ticker", "event_date").agg(
+        momentum.alias("pre_earnings_momentum"),
+        *[F.expr(f"{sql} as {name}") for name, sql in aggregates.items()])
 
 
 def as_of_bars(windowed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import settings
 from tidemark.functions.lexicon import POLARITY_LEXICON, TONE_LEXICON, Lexicon
 from tidemark.functions.numeric import softmax
-from tidemark.functions.text import chunks, share_of, tokens
+from tidemark.functions.text import chunks, only, tokens
 from tidemark.runtime import ship_by_value
 
 ship_by_value(__name__)
@@ -27,10 +27,21 @@ def lexicon_ratios(docs: DataFrame, lexicon: Lexicon = TONE_LEXICON, text: str =
 
     A projection only: no shuffle, and the text stays where it was read.
     """
+    return _with_ratios(docs.withColumn("_tokens", tokens(F.col(text))), lexicon).drop("_tokens")
+
+
+def _union(lexicon: Lexicon) -> list[str]:
+    return sorted({t for terms in lexicon.values() for t in terms})
+
+
+def _with_ratios(tokenized: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """One pass over all tokens finds those of any category; the categories only look at these."""
     return (
-        docs.withColumn("_tokens", tokens(F.col(text)))
-        .withColumns({name: share_of(F.col("_tokens"), terms) for name, terms in lexicon.items()})
-        .drop("_tokens")
+        tokenized.withColumn("_hits", F.expr(only("_tokens", _union(lexicon))))
+        .withColumns({
+            name: F.expr(f"size({only('_hits', terms)}) / greatest(size(_tokens), 1)")
+            for name, terms in lexicon.items()})
+        .drop("_hits")
     )
 
 
@@ -55,11 +66,23 @@ def lexicon_ratios_from_table(docs: DataFrame, lexicon: DataFrame, key: str,
         key, "category", (F.col("_hits") / F.col("_n")).alias("ratio"))
 
 
-def _chunk_probabilities(chunk: Column, polarity: Lexicon) -> Column:
-    pos = share_of(chunk, polarity["positive"]) * _SHARPNESS
-    neg = share_of(chunk, polarity["negative"]) * _SHARPNESS
-    p = softmax([pos, neg, F.lit(_NEUTRAL_LOGIT)])
-    return F.struct(p[0].alias("pos"), p[1].alias("neg"), p[2].alias("neu"))
+def _polarity_hits(chunk: str, polarity: Lexicon) -> str:
+    """SQL text: the polar words of a chunk and its length, found in one pass."""
+    return f"named_struct('hits', {only(chunk, _union(polarity))}, 'n', size({chunk}))"
+
+
+def _polarity_powers(found: str, polarity: Lexicon) -> str:
+    """SQL text: the unnormalised softmax of one chunk; shares are at most 1, so no overflow."""
+    def power(side: str) -> str:
+        share = f"size({only(f'{found}.hits', polarity[side])}) / greatest({found}.n, 1)"
+        return f"exp({_SHARPNESS}D * {share})"
+
+    return (f"named_struct('pos', {power('positive')}, 'neg', {power('negative')},"
+            f" 'neu', exp({_NEUTRAL_LOGIT}D))")
+
+
+def _normalised(powers: str, name: str) -> str:
+    return f"{powers}.{name} / ({powers}.pos + {powers}.neg + {powers}.neu)"
 
 
 def polarity_sentiment(docs: DataFrame, polarity: Lexicon = POLARITY_LEXICON, text: str = "text",
@@ -69,22 +92,25 @@ def polarity_sentiment(docs: DataFrame, polarity: Lexicon = POLARITY_LEXICON, te
     Same result as chunk, score and average with :func:`sentiment_from_chunks`, but as a
     projection: one document's chunks never leave its row.
     """
-    def mean_of(field: str) -> Column:
-        total = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + s[field])
-        return F.coalesce(F.try_divide(total, F.size("_scores")), F.lit(0.0))
+    tokenized = docs.withColumn("_tokens", tokens(F.col(text)))
+    return _with_polarity(tokenized, polarity, chunk_tokens).drop("_tokens")
 
+
+def _with_polarity(tokenized: DataFrame, polarity: Lexicon, chunk_tokens: int) -> DataFrame:
+    def mean_of(name: str) -> Column:
+        total = f"aggregate(_powers, 0D, (acc, p) -> acc + {_normalised('p', name)})"
+        return F.expr(f"coalesce(try_divide({total}, size(_powers)), 0D)")
+
+    pieces = chunks("_tokens", chunk_tokens)
     return (
-        docs.withColumn("_tokens", tokens(F.col(text)))
-        .withColumn("_scores", F.transform(chunks(F.col("_tokens"), chunk_tokens),
-                                           lambda c: _chunk_probabilities(c, polarity)))
-        .withColumns({"_pos": mean_of("pos"), "_neg": mean_of("neg"), "_neu": mean_of("neu")})
-        .withColumns({
-            "sentiment_score": F.col("_pos") - F.col("_neg"),
-            "positive_prob": F.col("_pos"),
-            "negative_prob": F.col("_neg"),
-            "neutral_prob": F.col("_neu"),
-        })
-        .drop("_tokens", "_scores", "_pos", "_neg", "_neu")
+        tokenized
+        .withColumn("_powers", F.expr(
+            f"transform(transform({pieces}, c -> {_polarity_hits('c', polarity)}),"
+            f" h -> {_polarity_powers('h', polarity)})"))
+        .withColumns({"positive_prob": mean_of("pos"), "negative_prob": mean_of("neg"),
+                      "neutral_prob": mean_of("neu")})
+        .withColumn("sentiment_score", F.expr("positive_prob - negative_prob"))
+        .drop("_powers")
     )
 
 
@@ -93,13 +119,16 @@ def text_chunks(docs: DataFrame, key: str, text: str = "text",
     """One row per chunk: ``key, chunk_no, chunk`` (array of tokens)."""
     cut = docs.select(key, tokens(F.col(text)).alias("_tokens"))
     return cut.select(
-        key, F.posexplode(chunks(F.col("_tokens"), chunk_tokens)).alias("chunk_no", "chunk"))
+        key, F.posexplode(F.expr(chunks("_tokens", chunk_tokens))).alias("chunk_no", "chunk"))
 
 
 def polarity_scorer(polarity: Lexicon = POLARITY_LEXICON) -> Callable[[DataFrame], DataFrame]:
     """The bundled scorer in the chunk-table form that any scorer has: adds ``score``."""
     def score(chunk_rows: DataFrame) -> DataFrame:
-        return chunk_rows.withColumn("score", _chunk_probabilities(F.col("chunk"), polarity))
+        found = chunk_rows.withColumn("_h", F.expr(_polarity_hits("chunk", polarity)))
+        powers = found.withColumn("_p", F.expr(_polarity_powers("_h", polarity)))
+        score_of = ", ".join(f"'{n}', {_normalised('_p', n)}" for n in ("pos", "neg", "neu"))
+        return powers.withColumn("score", F.expr(f"named_struct({score_of})")).drop("_h", "_p")
     return score
 
 
@@ -183,8 +212,9 @@ class LexiconScorer(TextScorer):
 
     def in_place(self, docs: DataFrame) -> DataFrame:
         """Both steps as one projection over the documents, columns added in place."""
-        scored = polarity_sentiment(docs, self.polarity, chunk_tokens=self.chunk_tokens)
-        return lexicon_ratios(scored, self.tone_lexicon)
+        tokenized = docs.withColumn("_tokens", tokens(F.col("text")))
+        scored = _with_polarity(tokenized, self.polarity, self.chunk_tokens)
+        return _with_ratios(scored, self.tone_lexicon).drop("_tokens")
 
 
 def text_features(docs: DataFrame, key: str, scorer: TextScorer | None = None) -> DataFrame:

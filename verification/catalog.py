@@ -169,7 +169,7 @@ def pluggable_sentiment(v: Views) -> DataFrame:
 
 @query
 def ohlcv_bars(v: Views) -> DataFrame:
-    return tidy(v.bars)
+    return v.bars
 
 
 @query
@@ -177,7 +177,7 @@ def bar_scan(v: Views) -> DataFrame:
     """All bars up to the cut-off, read back from a stored table with the range pushed down."""
     path = unique_path(v.spark, "bars")
     v.bars.write.parquet(path)
-    return tidy(market.read_bars(v.spark, path, end=AS_OF))
+    return market.read_bars(v.spark, path, end=AS_OF)
 
 
 @query
@@ -192,7 +192,7 @@ def latest_events(v: Views) -> DataFrame:
 
 @query
 def event_window(v: Views) -> DataFrame:
-    return tidy(prices.event_bars(v.events, v.bars))
+    return prices.event_bars(v.events, v.bars)
 
 
 @query
@@ -210,8 +210,9 @@ def as_of_bars(v: Views) -> DataFrame:
 @query
 def bar_returns(v: Views) -> DataFrame:
     rows = prices.bar_sequence(prices.event_bars(v.events, v.bars))
-    return tidy(rows.select(*KEY, "date", "is_pre", "is_event_bar", "simple_return", "log_return",
-                            "lead_1", "lead_3"))
+    return rows.select(*KEY, "date", "is_pre", "is_event_bar", F.round("simple_return", 6)
+                       .alias("simple_return"), F.round("log_return", 6).alias("log_return"),
+                       "lead_1", "lead_3")
 
 
 def _price_query(name: str, columns: list[str]) -> None:
@@ -297,8 +298,8 @@ def _collect(v: Views) -> tuple[str, DataFrame]:
 @query
 def raw_store(v: Views) -> DataFrame:
     root, _ = _collect(v)
-    return tidy(v.spark.read.parquet(f"{root}/bars").select(
-        *KEY, "date", "open", "high", "low", "close", "volume"))
+    return v.spark.read.parquet(f"{root}/bars").select(
+        *KEY, "date", "open", "high", "low", "close", "volume")
 
 
 @query
@@ -427,7 +428,21 @@ _evaluation("leaderboard_direction",
 _evaluation("leaderboard_magnitude",
             lambda p: metrics.magnitude_leaderboard(metrics.regression_metrics(p)))
 _evaluation("pred_extents", metrics.prediction_extents)
-_evaluation("pnl_curve", curves.return_curves)
+
+
+def _significant(name: str):
+    """About ten significant digits: compounded returns can get very large."""
+    scale = f"pow(10D, floor(log10(greatest(abs({name}), 1D))))"
+    return F.expr(f"round({name} / {scale}, 9) * {scale} as {name}")
+
+
+@query
+def pnl_curve(v: Views) -> DataFrame:
+    return curves.return_curves(v.predictions).select(
+        "model", "event_index", *KEY, "position",
+        _significant("cum_strategy"), _significant("cum_buyhold"))
+
+
 
 
 @query

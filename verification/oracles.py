@@ -362,14 +362,14 @@ def build() -> dict[str, str]:
 
     # bars and events
     out["ohlcv_bars"] = ctes(BARS) + f"""
-      select ticker, date, {rs(("open", "high", "low", "close", "volume"))} from bars"""
+      select ticker, date, open, high, low, close, volume from bars"""
     out["bar_scan"] = ctes(BARS) + f"""
-      select ticker, date, {rs(("open", "high", "low", "close", "volume"))} from bars
+      select ticker, date, open, high, low, close, volume from bars
       where date < date '{AS_OF}'"""
     out["calendar_events"] = ctes(EVENTS) + "select ticker, event_date from past"
     out["latest_events"] = ctes(EVENTS) + "select ticker, event_date from ev"
     out["event_window"] = market + f"""
-      select ticker, event_date, date, {rs(("open", "high", "low", "close", "volume"))} from win"""
+      select ticker, event_date, date, open, high, low, close, volume from win"""
     out["window_split"] = market + """
       select ticker, event_date, count(*) filter (where date < event_date) as n_pre,
              count(*) filter (where date >= event_date) as n_post from win group by 1, 2"""
@@ -382,7 +382,7 @@ def build() -> dict[str, str]:
       from seq group by 1, 2"""
     out["bar_returns"] = market + f"""
       select ticker, event_date, date, is_pre, is_event_bar,
-             {rs(("simple_return", "log_return", "lead_1", "lead_3"))} from rets"""
+             {rs(("simple_return", "log_return"))}, lead_1, lead_3 from rets"""
     for name, cols in (("momentum", PRICE_COLUMNS[:1]), ("volatility", PRICE_COLUMNS[1:2]),
                        ("gap", PRICE_COLUMNS[2:3]), ("volume_spike", PRICE_COLUMNS[3:4]),
                        ("amihud", PRICE_COLUMNS[4:]), ("targets", TARGETS),
@@ -518,14 +518,19 @@ def build() -> dict[str, str]:
       select model, round(least(min(actual), min(predicted)) - 0.005, 6) as lower,
              round(greatest(max(actual), max(predicted)) + 0.005, 6) as upper
       from mags group by 1"""
+    def significant(x):
+        scale = f"pow(10.0::double, floor(log10(greatest(abs({x}), 1))))"
+        return f"round({x} / {scale}, 9) * {scale} as {x}"
     out["pnl_curve"] = predicted + f"""
-      select model, row_number() over w - 1 as event_index, {key}, position,
-             round(product(1 + position * actual) over w, 6) as cum_strategy,
-             round(product(1 + actual) over w, 6) as cum_buyhold
+      select model, event_index, {key}, position, {significant("cum_strategy")},
+             {significant("cum_buyhold")}
+      from (select model, row_number() over w - 1 as event_index, {key}, position,
+             product(1 + position * actual) over w as cum_strategy,
+             product(1 + actual) over w as cum_buyhold
       from (select *, case predicted_label when 1 then 1.0::double else -1.0::double end as position
             from dirs)
       window w as (partition by model order by event_date, ticker
-                   rows between unbounded preceding and current row)"""
+                   rows between unbounded preceding and current row))"""
     out["feature_histogram"] = full + """
       , long as (
         select 'sentiment_score' as column_name, sentiment_score as x from matrix
