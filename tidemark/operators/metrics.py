@@ -109,8 +109,9 @@ def rank_correlation(predictions: DataFrame, single_task: bool | None = None) ->
         F.count("*").alias("n"), F.covar_pop("ra", "rp").alias("c"),
         F.var_pop("ra").alias("va"), F.var_pop("rp").alias("vp"))
     ic = F.when(F.col("n") > 2, F.try_divide("c", F.sqrt(F.col("va") * F.col("vp"))))
-    return parts.select("model", "n", F.greatest(F.least(ic, F.lit(1.0)), F.lit(-1.0)).alias("ic")
-                        ).withColumn("ic_pval", correlation_p_value(F.col("ic"), F.col("n")))
+    bounded = F.when(ic.isNotNull(), F.greatest(F.least(ic, F.lit(1.0)), F.lit(-1.0)))
+    return parts.select("model", "n", bounded.alias("ic")).withColumn(
+        "ic_pval", correlation_p_value(F.col("ic"), F.col("n")))
 
 
 def regression_metrics(predictions: DataFrame, single_task: bool | None = None) -> DataFrame:

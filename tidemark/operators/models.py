@@ -53,7 +53,7 @@ class ModelSettings:
     lasso_alpha: float = 0.001
     lasso_iterations: int = 2000
     neighbours: int = 5
-    fourier_features: int = 512     # size of the random-feature stand-in for an RBF kernel
+    fourier_features: int = 256     # size of the random-feature stand-in for an RBF kernel
     seed: int = settings.SEED
 
 
@@ -68,7 +68,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
     size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
 
-    def __init__(self, inputCol="scaled", outputCol="features", size=512, gamma=1.0, seed=42):
+    def __init__(self, inputCol="scaled", outputCol="features", size=256, gamma=1.0, seed=42):
         super().__init__()
         self._set(inputCol=inputCol, outputCol=outputCol, size=size, gamma=gamma, seed=seed)
 
@@ -157,7 +157,8 @@ def _estimator(key: str, model_type: str, train: DataFrame, n: int, p: ModelSett
             regParam=1.0 / (p.logistic_c * n), elasticNetParam=0.0, standardization=False,
             maxIter=p.logistic_iterations, tol=1e-9, weightCol="weight")
     if key == "svm":
-        return LinearSVC(regParam=1.0 / n, standardization=False, maxIter=200, weightCol="weight")
+        return LinearSVC(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-4,
+                         weightCol="weight")
     if key == "ridge":
         deviation = train.agg(F.stddev_pop("label")).first()[0] or 1.0
         return LinearRegression(
