@@ -27,7 +27,7 @@ def data(spark):
             for i, (r, t) in enumerate(zip(x, y))]
     schema = ("ticker string, event_date date, " + ", ".join(f"{c} double" for c in FEATURES)
               + ", y double")
-    return x, y, spark.createDataFrame(rows, schema).persist()
+    return x, y, spark.createDataFrame(rows, schema).coalesce(1).persist()
 
 
 def _scaled(x):
@@ -92,7 +92,7 @@ def test_logistic(data):
 def test_other_models_learn(data, key, kind):
     _, y, df = data
     label = (F.col("y") >= 0).cast("double") if kind == "direction" else F.col("y")
-    quick = models.ModelSettings(trees=20, rounds=5)
+    quick = models.ModelSettings(trees=20, rounds=5, fourier_features=64)
     model = models.fit_model(key, kind, df.withColumn("label", label), quick)
     rows = model.transform(df).select("y", "prediction").collect()
     got, want = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])

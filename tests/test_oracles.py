@@ -4,7 +4,9 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from verification import catalog
 from verification.compare import compare, connect
+from verification.views import Views
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 ROWS_ONLY = {"train_grid", "optional_models", "model_persistence", "coefficient_ranking",
@@ -21,15 +23,21 @@ def test_every_query_without_sql_is_listed():
     assert set(ORACLES) <= set(QUERIES)
 
 
+@pytest.fixture(scope="module")
+def views(spark):
+    """One set of views for all queries, so that the matrix is built once."""
+    return Views(spark, SMALL)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_matches_sql(spark, con, name):
-    assert compare(con, QUERIES[name](spark, SMALL), ORACLES[name]) == []
+def test_matches_sql(views, con, name):
+    assert compare(con, catalog.QUERIES[name](views), ORACLES[name]) == []
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_saved_models_predict_the_same(spark):
-    rows = QUERIES["model_persistence"](spark, SMALL).collect()
+def test_saved_models_predict_the_same(views):
+    rows = catalog.QUERIES["model_persistence"](views).collect()
     assert len(rows) == 4 and all(r["n"] > 0 and r["n_changed"] == 0 for r in rows)

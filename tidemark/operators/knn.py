@@ -38,27 +38,27 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.empty((0, width))
 
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str], k: int = 5,
-                       key: tuple[str, ...] = ("ticker", "event_date"),
-                       carry: tuple[str, ...] = ("label",), pivots: int | None = None,
-                       block_rows: int = 20_000) -> DataFrame:
-    """The ``k`` nearest training rows of each query row.
-
-    Returns the query key, ``n_<key>`` and ``n_<carry>`` of each neighbour, ``distance`` and
-    ``rank`` (ties by neighbour key).  Both inputs are read several times and should be stored.
-    """
-    vector = F.array(*[F.col(c).cast("double") for c in features])
-    n_key = [f"n_{c}" for c in key]
-    n_carry = [f"n_{c}" for c in carry]
-    kept = train.select(*[F.col(c).alias(f"n_{c}") for c in (*key, *carry)], vector.alias("t_vec"))
-    asked = queries.select(*key, vector.alias("q_vec"))
-
-    total = kept.count()
-    wanted = pivots or int(min(256, max(1, total // block_rows)))
-    centre_rows = (kept.select("t_vec").distinct().orderBy(F.xxhash64("t_vec"))
-                   .limit(wanted).collect())      # at most 256 vectors
-    width = len(features)
-    centres = np.array([r["t_vec"] for r in centre_rows], dtype=float).reshape(-1, width)
+def _smallest(d: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the ``take`` smallest values of each row, ties by column."""
+    limit = np.partition(d, take - 1, axis=1)[:, take - 1]
+    rows, cols = np.nonzero(d <= limit[:, None])
+    order = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(len(d)))
+    keep = np.arange(len(rows)) - first[rows] < take
+    return rows[keep], cols[keep]
+
+
+def _place(kept: DataFrame, asked: DataFrame, n_key: list[str], wanted: int, width: int, k: int
+           ) -> tuple[int, DataFrame, DataFrame, dict[int, int]]:
+    """Draw pivots, put every training row in the cell of its nearest pivot and every query row in
+    each cell that can hold one of its ``k`` nearest.  Returns the number of cells, both tables
+    with their ``cell``, and the training rows per cell."""
+    # a pseudo-random draw by key, so that many copies of one point yield one pivot among others
+    drawn = (kept.orderBy(F.xxhash64(*n_key), *n_key).limit(4 * wanted)
+             .select("t_vec").collect())          # at most 1024 vectors
+    centres = np.array(list(dict.fromkeys(tuple(r["t_vec"]) for r in drawn))[:wanted],
+                       dtype=float).reshape(-1, width)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,14 +95,42 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str]
 
     candidates = asked.mapInPandas(to_candidates, T.StructType(
         asked.schema.fields + [T.StructField("cell", T.IntegerType())]))
-    asked_per_cell = {r["cell"]: r["count"] for r in
-                      candidates.groupBy("cell").count().collect()}
+    return (len(centres), placed.drop("reach"), candidates,
+            {c: r["n"] for c, r in sizes.items()})
+
+
+def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str], k: int = 5,
+                       key: tuple[str, ...] = ("ticker", "event_date"),
+                       carry: tuple[str, ...] = ("label",), pivots: int | None = None,
+                       block_rows: int = 20_000) -> DataFrame:
+    """The ``k`` nearest training rows of each query row.
+
+    Returns the query key, ``n_<key>`` and ``n_<carry>`` of each neighbour, ``distance`` and
+    ``rank`` (ties by neighbour key).  Both inputs are read several times and should be stored.
+    """
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+    n_key = [f"n_{c}" for c in key]
+    n_carry = [f"n_{c}" for c in carry]
+    kept = train.select(*[F.col(c).alias(f"n_{c}") for c in (*key, *carry)], vector.alias("t_vec"))
+    asked = queries.select(*key, vector.alias("q_vec"))
+
+    total = kept.count()
+    wanted = pivots or int(min(256, max(1, total // block_rows)))
+    width = len(features)
+    if wanted == 1:      # one cell: nothing to prune, no pass over the rows to place them
+        cells = 1
+        placed, candidates = (d.withColumn("cell", F.lit(0)) for d in (kept, asked))
+        rows_per_cell, asked_per_cell = {0: total}, {0: asked.count()}
+    else:
+        cells, placed, candidates, rows_per_cell = _place(kept, asked, n_key, wanted, width, k)
+        asked_per_cell = {r["cell"]: r["count"]
+                          for r in candidates.groupBy("cell").count().collect()}
 
     def blocks(counts: dict) -> F.Column:
-        parts = [F.lit(max(1, -(-counts.get(c, 0) // block_rows))) for c in range(len(centres))]
+        parts = [F.lit(max(1, -(-counts.get(c, 0) // block_rows))) for c in range(cells)]
         return F.element_at(F.array(*parts), F.col("cell") + 1)
 
-    t_blocks = blocks({c: r["n"] for c, r in sizes.items()})
+    t_blocks = blocks(rows_per_cell)
     q_blocks = blocks(asked_per_cell)
 
     def spread(rows: DataFrame, own: str, own_blocks, own_key, other: str, other_blocks):
@@ -110,7 +138,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str]
         return rows.withColumns({
             own: mine, other: F.explode(F.sequence(F.lit(0), other_blocks - 1))})
 
-    left = spread(placed.drop("reach"), "tb", t_blocks, n_key, "qb", q_blocks)
+    left = spread(placed, "tb", t_blocks, n_key, "qb", q_blocks)
     right = spread(candidates, "qb", q_blocks, list(key), "tb", t_blocks)
 
     out_schema = T.StructType(
@@ -130,9 +158,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str]
         for start in range(0, len(q), step):
             part = q.iloc[start:start + step]
             d = _distances(_matrix(part["q_vec"], width), tv)
-            best = np.argsort(d, axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(part)), take)
-            cols = best.ravel()
+            rows, cols = _smallest(d, take)
             block = part.iloc[rows][list(key)].reset_index(drop=True)
             for c in n_key + n_carry:
                 block[c] = t[c].to_numpy()[cols]

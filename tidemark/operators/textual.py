@@ -49,21 +49,17 @@ def lexicon_ratios_from_table(docs: DataFrame, lexicon: DataFrame, key: str,
                               text: str = "text") -> DataFrame:
     """The same ratios, long form ``key, category, ratio``, for a lexicon of any size in a table.
 
-    Tokens are counted per document before they meet the lexicon, so a document contributes each
-    distinct token once.  The lexicon is joined by term without a hint.
+    Only categories with a hit have a row.  Tokens meet the lexicon before anything is grouped, so
+    the shuffle carries one row per document and category.  The lexicon is joined without a hint: a
+    small one is broadcast, with a large one adaptive execution splits the frequent terms.
     """
-    per_doc = docs.select(key, tokens(F.col(text)).alias("_tokens"))
-    sizes = per_doc.select(key, F.greatest(F.size("_tokens"), F.lit(1)).alias("_n"))
-    counted = (
-        per_doc.select(key, F.explode("_tokens").alias("term"))
-        .groupBy(key, "term").agg(F.count("*").alias("_hits"))
-    )
-    hits = (
-        counted.join(lexicon.select("category", "term").distinct(), "term")
-        .groupBy(key, "category").agg(F.sum("_hits").alias("_hits"))
+    words = docs.select(key, tokens(F.col(text)).alias("_tokens")).select(
+        key, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term"))
+    return (
+        words.join(lexicon.select("category", "term").distinct(), "term")
+        .groupBy(key, "category")
+        .agg((F.count("*") / F.max("_n")).alias("ratio"))
     )
-    return hits.join(sizes, key).select(
-        key, "category", (F.col("_hits") / F.col("_n")).alias("ratio"))
 
 
 def _polarity_hits(chunk: str, polarity: Lexicon) -> str:

@@ -25,12 +25,21 @@ def event_filings(events: DataFrame, filings: DataFrame, causal: bool = False) -
 
 
 def event_texts(events: DataFrame, filings: DataFrame, causal: bool = False) -> DataFrame:
-    """The chosen filing with its text; only chosen texts take part in a shuffle."""
+    """The chosen filing with its text.
+
+    Only texts that could be chosen at all (preferred form, long enough) are joined.
+    """
     picks = event_filings(events, filings, causal)
-    return picks.join(filings.select("accession", "text"), "accession").select(
+    return picks.join(_pickable(filings), "accession").select(
         *EVENT, "accession", "form", "filing_date", "text")
 
 
+def _pickable(filings: DataFrame) -> DataFrame:
+    """Key and text of the filings that may be chosen; both filters run in the scan."""
+    wanted = filings.where(F.col("form").isin(*settings.FORM_TYPES))
+    return wanted.where(long_enough(F.col("text"))).select("accession", "text")
+
+
 def event_text_features(events: DataFrame, filings: DataFrame,
                         scorer: textual.TextScorer | None = None,
                         causal: bool = False) -> DataFrame:
@@ -42,7 +51,7 @@ def event_text_features(events: DataFrame, filings: DataFrame,
     scorer = scorer or textual.LexiconScorer()
     if not isinstance(scorer, textual.LexiconScorer):
         picks = event_filings(events, filings, causal)
-        chosen = filings.select("accession", "text").join(
+        chosen = _pickable(filings).join(
             picks.select("accession").distinct(), "accession", "left_semi")
         features = textual.text_features(chosen, "accession", scorer)
         return picks.join(features, "accession").select(*EVENT, *settings.TEXT_FEATURES)

@@ -24,11 +24,11 @@ KEY = list(settings.META_COLUMNS)
 FEATURES = list(settings.FEATURE_COLUMNS)
 TARGETS = [f"ret_{h}d" for h in settings.TARGET_HORIZONS]
 
-_queries: dict[str, Callable[[Views], DataFrame]] = {}
+QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
 
 def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    _queries[fn.__name__] = fn
+    QUERIES[fn.__name__] = fn
     return fn
 
 
@@ -98,12 +98,8 @@ def valid_dates(v: Views) -> DataFrame:
 
 # --- text ---------------------------------------------------------------------------------------
 
-@query
-def html_to_text_pages(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", html_to_text(F.col("html")).alias("text"))
-
-
-_queries["html_to_text"] = _queries.pop("html_to_text_pages")
+QUERIES["html_to_text"] = lambda v: v.table("pages").select(
+    "page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @query
@@ -216,7 +212,7 @@ def bar_returns(v: Views) -> DataFrame:
 
 
 def _price_query(name: str, columns: list[str]) -> None:
-    _queries[name] = lambda v: tidy(v.price_features.select(*KEY, *columns))
+    QUERIES[name] = lambda v: tidy(v.price_features.select(*KEY, *columns))
 
 
 for _name, _column in zip(("momentum", "volatility", "gap", "volume_spike", "amihud"),
@@ -410,7 +406,7 @@ def predictions(v: Views) -> DataFrame:
 
 
 def _evaluation(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    _queries[name] = lambda v: tidy(fn(v.predictions))
+    QUERIES[name] = lambda v: tidy(fn(v.predictions))
 
 
 _evaluation("confusion", metrics.confusion_matrix)
@@ -450,10 +446,10 @@ def feature_histogram(v: Views) -> DataFrame:
     return tidy(curves.histogram(v.imputed))
 
 
-_queries.update(models.QUERIES)
+QUERIES.update(models.QUERIES)
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         return lambda spark, sf_dir: fn(Views(spark, sf_dir))
-    return {name: bind(fn) for name, fn in _queries.items()}
+    return {name: bind(fn) for name, fn in QUERIES.items()}
