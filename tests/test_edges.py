@@ -99,6 +99,17 @@ def test_overlapping_events_see_the_same_bars(spark):
     assert {r["count"] for r in got.collect()} == {45}
 
 
+def test_salting_changes_nothing(spark):
+    rows = _filings(spark, *[(i % 150 - 75, "8-K", i % 3 > 0) for i in range(600)])
+    e = events(spark, 0, 10, -40)
+    plain, salted = (documents.filings_near(e, rows, 30, salts=n) for n in (1, 4))
+    assert plain.count() == salted.count() > 0
+    assert plain.exceptAll(salted.select(*plain.columns)).count() == 0
+    picks = [sorted(map(tuple, documents.pick_filing(e, rows, [], F.col("usable"), salts=n)
+                        .collect())) for n in (1, 4)]
+    assert picks[0] == picks[1] and len(picks[0]) == 3
+
+
 # --- events and bars ----------------------------------------------------------------------------
 
 def test_calendar_keeps_wall_time_and_drops_later_today(spark):
@@ -237,7 +248,9 @@ def test_zero_padding(spark):
     assert [r[0] for r in got.collect()] == ["0000000007", "12345678901"]
 
 
-def test_lexicon(spark):
+@pytest.mark.parametrize("broadcast_terms", [0, 1000])
+def test_lexicon(spark, monkeypatch, broadcast_terms):
+    monkeypatch.setattr(textual, "BROADCAST_TERMS", broadcast_terms)
     assert [len(t) for t in TONE_LEXICON.values()] == [99, 32, 39, 94]
     docs = spark.createDataFrame([
         (1, "We may possibly EXPECT a lawsuit; we don't plan."), (2, ""), (3, "123 !")],

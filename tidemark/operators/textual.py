@@ -19,6 +19,7 @@ ship_by_value(__name__)
 _SENTIMENT = settings.TEXT_FEATURES[:4]
 _SHARPNESS = 20.0      # weight of a hit share in the bundled scorer's logits
 _NEUTRAL_LOGIT = 1.0
+BROADCAST_TERMS = 200_000     # a few megabytes
 
 
 def lexicon_ratios(docs: DataFrame, lexicon: Lexicon = TONE_LEXICON, text: str = "text"
@@ -50,13 +51,17 @@ def lexicon_ratios_from_table(docs: DataFrame, lexicon: DataFrame, key: str,
     """The same ratios, long form ``key, category, ratio``, for a lexicon of any size in a table.
 
     Only categories with a hit have a row.  Tokens meet the lexicon before anything is grouped, so
-    the shuffle carries one row per document and category.  The lexicon is joined without a hint: a
-    small one is broadcast, with a large one adaptive execution splits the frequent terms.
+    the shuffle carries one row per document and category.  A lexicon that was counted and found
+    small is broadcast; a larger one is joined by term, and adaptive execution splits frequent
+    terms.
     """
+    terms = lexicon.select("category", "term").distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
     words = docs.select(key, tokens(F.col(text)).alias("_tokens")).select(
         key, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term"))
     return (
-        words.join(lexicon.select("category", "term").distinct(), "term")
+        words.join(terms, "term")
         .groupBy(key, "category")
         .agg((F.count("*") / F.max("_n")).alias("ratio"))
     )

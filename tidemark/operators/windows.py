@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 
 def rows_around(events: DataFrame, rows: DataFrame, before: int, after: int,
-                entity: str = "ticker", at: str = "event_date", day: str = "date") -> DataFrame:
+                entity: str = "ticker", at: str = "event_date", day: str = "date",
+                salts: int = 1) -> DataFrame:
     """Pairs of events and rows of the same entity with ``at - before <= day < at + after``.
 
     Time is cut into buckets as wide as the window.  An event reaches into at most two of them and
     a row lies in one, so the range join is an equi join on (entity, bucket) with a residual range
     check.  The work is spread over time even when one entity owns a large part of the rows, the
     optimizer broadcasts the events only when their measured size is small, and adaptive skew
-    splitting applies otherwise.
+    splitting applies otherwise.  With ``salts`` > 1 the rows of each bucket are dealt to that many
+    tasks and the (few) events of the bucket are copied to each, for data where one entity has very
+    many rows per day.
     """
     width = before + after
     first, last = F.date_sub(at, before), F.date_add(at, after - 1)
@@ -24,8 +27,14 @@ def rows_around(events: DataFrame, rows: DataFrame, before: int, after: int,
 
     spread = events.withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last))))
     placed = rows.withColumn("_bucket", bucket(F.col(day)))
+    on = [entity, "_bucket"]
+    if salts > 1:
+        on.append("_salt")
+        spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+                                   .cast("int"))
     return (
-        spread.join(placed, [entity, "_bucket"])
+        spread.join(placed, on)
         .where((F.col(day) >= first) & (F.col(day) <= last))
-        .drop("_bucket")
+        .drop("_bucket", "_salt")
     )

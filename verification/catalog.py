@@ -116,14 +116,13 @@ def word_gate(v: Views) -> DataFrame:
 @query
 def lexicon_ratios(v: Views) -> DataFrame:
     docs = v.table("documents").select("doc_id", "text")
-    return tidy(textual.lexicon_ratios(docs, TONE_PROXY).drop("text"))
+    return textual.lexicon_ratios(docs, TONE_PROXY).drop("text")
 
 
 @query
 def lexicon_table_ratios(v: Views) -> DataFrame:
     docs = v.table("documents").select("doc_id", "text")
-    return tidy(textual.lexicon_ratios_from_table(docs, lexicon_table(v.spark, TONE_PROXY),
-                                                  "doc_id"))
+    return textual.lexicon_ratios_from_table(docs, lexicon_table(v.spark, TONE_PROXY), "doc_id")
 
 
 @query
@@ -200,7 +199,7 @@ def window_split(v: Views) -> DataFrame:
 
 @query
 def as_of_bars(v: Views) -> DataFrame:
-    return tidy(prices.as_of_bars(prices.event_bars(v.events, v.bars)))
+    return prices.as_of_bars(prices.event_bars(v.events, v.bars))
 
 
 @query

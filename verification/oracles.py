@@ -349,9 +349,9 @@ def build() -> dict[str, str]:
       select doc_id, cast(len(regexp_extract_all(text, '\\S+')) as int) as n_words,
              len(regexp_extract_all(text, '\\S+')) >= 50 as usable from documents"""
     out["lexicon_ratios"] = ctes(DOC_TEXT) + f"""
-      select doc_id, {rs(TONE_PROXY)} from doc_features"""
+      select doc_id, {", ".join(TONE_PROXY)} from doc_features"""
     out["lexicon_table_ratios"] = ctes(DOC_TEXT) + " union all ".join(
-        f"""select doc_id, '{name}' as category, {r(name, 'ratio')} from doc_features
+        f"""select doc_id, '{name}' as category, {name} as ratio from doc_features
             where {name} > 0""" for name in TONE_PROXY)
     out["text_chunks"] = ctes(DOC_TEXT) + """
       select doc_id, cast(chunk_no as int) as chunk_no, cast(len(chunk) as int) as n_tokens,
@@ -373,12 +373,12 @@ def build() -> dict[str, str]:
     out["window_split"] = market + """
       select ticker, event_date, count(*) filter (where date < event_date) as n_pre,
              count(*) filter (where date >= event_date) as n_post from win group by 1, 2"""
-    out["as_of_bars"] = market + f"""
+    out["as_of_bars"] = market + """
       select ticker, event_date, max(date) filter (where is_pre) as prev_date,
-             {r("arg_max(close, date) filter (where is_pre)", "prev_close")},
+             arg_max(close, date) filter (where is_pre) as prev_close,
              max(date) filter (where is_event_bar) as bar_date,
-             {r("max(open) filter (where is_event_bar)", "bar_open")},
-             {r("max(close) filter (where is_event_bar)", "bar_close")}
+             max(open) filter (where is_event_bar) as bar_open,
+             max(close) filter (where is_event_bar) as bar_close
       from seq group by 1, 2"""
     out["bar_returns"] = market + f"""
       select ticker, event_date, date, is_pre, is_event_bar,
