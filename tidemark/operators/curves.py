@@ -42,7 +42,6 @@ def histogram(rows: DataFrame, columns: tuple[str, ...] = ("sentiment_score", "u
     its value.  Two passes, both combining before their (tiny) shuffle.
     """
     present = [c for c in columns if c in rows.columns]
-    spark = rows.sparkSession
     long = rows.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
         for c in present]))).where(F.col("x").isNotNull())
