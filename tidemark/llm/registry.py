@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packed
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    line_dedup,
+    packed,
+    quality,
+    secret_scan,
+    unigram,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         bpe.op3_byte_bpe,
+        line_dedup.op4_line_dedup,
         packed.op5_packed_tokens,
+        quality.op6_quality_rules,
+        decontaminate.op7_decontamination,
+        secret_scan.op8_secret_scan,
+        unigram.op10_token_counts,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+}
