@@ -16,7 +16,7 @@ from tidemark.runtime import ship_by_value
 ship_by_value(__name__)
 
 # Text bytes a Python worker turns into objects at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,8 @@ class PieceCache:
     It starts anew when it holds more than ``pieces`` entries or ``chars`` characters.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], pieces: int = 500_000,
-                 chars: int = 8_000_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], list], pieces: int = 300_000,
+                 chars: int = 4_000_000) -> None:
         self.compute, self.most_pieces, self.most_chars = compute, pieces, chars
         self.values: dict[str, Any] = {}
         self.chars = 0
