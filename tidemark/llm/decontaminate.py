@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tidemark.runtime import ship_by_value
 ship_by_value(__name__)
 
 SIMILARITY = 0.8
-WALKS = 64
+WALKS = 32
 SAMPLES = 3
 SIZE_RATIO = 1.2               # items within this ratio of words share samples
 BLOCK_WORDS = 500_000
@@ -55,7 +56,7 @@ def words_of(text: str) -> list[str]:
 
 
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
-                block_words: int = BLOCK_WORDS) -> list[list[Item]]:
+                block_words: int = BLOCK_WORDS) -> Iterator[list[Item]]:
     """The items with words, a block at a time."""
     rows = benchmark.select(F.col(item).cast("long"), F.col(text).cast("string"))
     block: list[Item] = []
@@ -90,7 +91,7 @@ def fewest_edits(item: np.ndarray, text: np.ndarray) -> int:
 def walk_moves(step: int, symbols: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """The random bit of (walk, step, word), the same wherever it is asked for."""
     x = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= salts + np.uint64(step) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= salts + np.uint64(step * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(40)) & np.uint64(1)
@@ -107,10 +108,13 @@ class Finder:
                       for _, words in items]
         sizes = np.array([len(c) for c in self.coded])
         self.edits = np.array([allowed(n, similarity) for n in sizes])
-        self.run = min(-(-(n - k) // (k + 1)) for n, k in zip(sizes.tolist(), self.edits.tolist()))
-        self.reach = int((sizes + self.edits).max())
-        self.runs = {tuple(c[i:i + self.run].tolist()) for c in self.coded
-                     for i in range(len(c) - self.run + 1)}
+        # Runs of words of which a text must have one, by length, and how far an item can reach.
+        self.runs: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
+        for c, n, k in zip(self.coded, sizes.tolist(), self.edits.tolist()):
+            length = -(-(n - k) // (k + 1))
+            for i in range(n - length + 1):
+                run = tuple(c[i:i + length].tolist())
+                self.runs[length][run] = max(n + k, self.runs[length].get(run, 0))
         # For the exact bound on shared words: word -> items that have it, and how often.
         self.having: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, c in enumerate(self.coded):
@@ -166,22 +170,24 @@ class Finder:
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of text that can hold an item, disjoint."""
-        run = self.run
-        n = len(codes) - run + 1
-        if n <= 0:
-            return []
         known = codes > 0
-        whole = known[:n].copy()
-        for i in range(1, run):
-            whole &= known[i:n + i]
+        found = []
+        for length, runs in self.runs.items():
+            n = len(codes) - length + 1
+            if n <= 0:
+                continue
+            whole = known[:n].copy()
+            for i in range(1, length):
+                whole &= known[i:n + i]
+            for p in np.flatnonzero(whole).tolist():
+                if reach := runs.get(tuple(codes[p:p + length].tolist())):
+                    found.append((max(0, p - reach), min(len(codes), p + length + reach)))
         out: list[tuple[int, int]] = []
-        for p in np.flatnonzero(whole).tolist():
-            if tuple(codes[p:p + run].tolist()) in self.runs:
-                low, high = max(0, p - self.reach), min(len(codes), p + run + self.reach)
-                if out and low <= out[-1][1]:
-                    out[-1] = out[-1][0], high
-                else:
-                    out.append((low, high))
+        for low, high in sorted(found):
+            if out and low <= out[-1][1]:
+                out[-1] = out[-1][0], max(high, out[-1][1])
+            else:
+                out.append((low, high))
         return out
 
     def candidates(self, words: np.ndarray) -> set[int]:
@@ -246,13 +252,13 @@ def _with_block(docs: DataFrame, items: list[Item], text: str, similarity: float
             for old in [k for k in store if str(k).startswith("finder ")]:
                 del store[old]
             store[name] = Finder(items, similarity, walks, samples)
-        return {"found": pa.array([store[name].leaks(t) for t in texts], pa.list_(LEAK))}
+        return {"leaks of block": pa.array([store[name].leaks(t) for t in texts], pa.list_(LEAK))}
 
     before = docs.withColumnRenamed("leaks", "leaks so far")
-    found = map_texts(before, text, "found array<struct<item_id:bigint,edits:bigint,"
+    found = map_texts(before, text, "`leaks of block` array<struct<item_id:bigint,edits:bigint,"
                       "item_words:bigint>>", run)
-    return found.withColumn("leaks", F.concat("leaks so far", "found")).drop("leaks so far",
-                                                                           "found")
+    return found.withColumn("leaks", F.concat("leaks so far", "leaks of block")).drop(
+        "leaks so far", "leaks of block")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

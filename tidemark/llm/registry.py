@@ -13,6 +13,7 @@ from tidemark.llm import (
     packed,
     quality,
     secret_scan,
+    simhash,
     unigram,
 )
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op6_quality_rules,
         decontaminate.op7_decontamination,
         secret_scan.op8_secret_scan,
+        simhash.op9_simhash,
         unigram.op10_token_counts,
     )
 }
