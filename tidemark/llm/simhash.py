@@ -84,6 +84,11 @@ def covering_masks(radius: int, level: int) -> list[int]:
     return [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
 
 
+def differing(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Number of differing bits.  A count of a signed number's bits leaves out its sign."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(members: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A spanning forest of the members' links."""
     left, right = [], []
@@ -92,7 +97,7 @@ def forest(members: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.
         stack, rest = [rest[0]], rest[1:]
         while stack and len(rest):
             one = stack.pop()
-            near = np.bitwise_count(rest ^ one) <= radius
+            near = differing(rest, one) <= radius
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
@@ -125,7 +130,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int,
         counts = np.diff(np.append(starts, len(fp)))
         pairs = starts[counts == 2]
         one, other = fp[pairs], fp[pairs + 1]
-        near = np.bitwise_count(one ^ other) <= radius
+        near = differing(one, other) <= radius
         left, right = [one[near]], [other[near]]
         for s, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist()):
             if n > bucket_rows:
