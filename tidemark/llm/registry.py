@@ -13,12 +13,16 @@ from tidemark.llm import (
     packed,
     quality,
     secret_scan,
+    sharding,
     simhash,
     unigram,
+    url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        url_filter.op1_url_filter,
+        sharding.op2_balanced_shards,
         bpe.op3_byte_bpe,
         line_dedup.op4_line_dedup,
         packed.op5_packed_tokens,
@@ -31,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
 }
