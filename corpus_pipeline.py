@@ -10,6 +10,10 @@ from tidemark.llm import stages
 from tidemark.runtime import shared_folder
 
 STAGES = [
+    ("quality_rules", stages.quality),
+    ("line_dedup", stages.lines),
+    ("near_duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontaminate),
     ("byte_bpe", stages.tokens),
 ]
 

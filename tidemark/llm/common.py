@@ -104,6 +104,11 @@ def nested(df: DataFrame, **columns: Column) -> DataFrame:
                      *[c.alias(n) for n, c in columns.items()])
 
 
-def same(a: Any, b: Any) -> Column:
-    """Equality that holds for two nulls."""
-    return F.col(a).eqNullSafe(F.col(b)) if isinstance(a, str) else a.eqNullSafe(b)
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under working names that no operator's columns have, and the names by column."""
+    names = {c: f"column {i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def brought_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(f"`{working}`").alias(c) for c, working in names.items()])

@@ -47,6 +47,7 @@ RULES = (
     Rule("one_word", "n_words >= 20 AND 100 * n_top_word > 30 * n_words"),
     Rule("stutter", "100 * n_stutters > 25 * n_words"),
     Rule("loud", "100 * n_loud_words > 10 * n_words"),
+    Rule("no_words", "n_words = 0"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
 )
 
@@ -63,7 +64,7 @@ class Policy:
 
 BASE = Policy("base-1", ("few_words", "repeated_windows"))
 FULL = Policy("full-1", tuple(r.name for r in RULES))
-# For a corpus that keeps short texts and quotations: the base rules' verdict is left out.
+# For a corpus that keeps short texts and quotations: the base rules are left out.
 LENIENT = Policy("lenient-1", tuple(r.name for r in RULES if r.name not in BASE.rules))
 
 

@@ -1,11 +1,58 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents.
+
+All but the last return the columns they are given.  Those are set aside under working names, so an
+extra column may have any name.  Null and empty texts: the quality stage drops them; the others keep
+a null text as it is and treat it as empty.  Repeated rows are near duplicates of each other.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate as leaks, line_dedup, simhash
+from tidemark.llm import quality as rules
+from tidemark.llm.common import brought_back, read_table, set_aside
+from tidemark.runtime import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the lenient policy."""
+    rows, names = set_aside(docs)
+    judged = rules.ledger(rows, names["text"]).where(rules.passes(rules.LENIENT))
+    return brought_back(judged, names)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines; ``n_chars`` follows the text."""
+    rows, names = set_aside(docs)
+    cleaned = brought_back(line_dedup.drop_site_lines(rows, names["source"], names["text"]), names)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = F.length("text").cast(kind)
+        cleaned = cleaned.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return cleaned
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the smallest id, the first stored row among equal ids."""
+    rows, names = set_aside(docs)
+    stored = simhash.with_fingerprint(rows, names["text"]).withColumn(
+        "row_id", F.monotonically_increasing_id())
+    stored = materialize(stored, "fingerprinted")
+    key = F.col(f"`{names['doc_id']}`")
+    order = F.struct(key.isNull().alias("unnamed"), key.alias("key"), "row_id")
+    classes = simhash.near_duplicates(stored.select("fingerprint_bits", key, "row_id"), order)
+    keepers = classes.select(F.col("component.row_id")).distinct()
+    return brought_back(stored.join(keepers, "row_id", "left_semi"), names)
+
 
-from tidemark.llm import bpe
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    rows, names = set_aside(docs)
+    found = leaks.find_leaks(rows, read_table(spark, sf_dir, "benchmark"), names["text"])
+    return brought_back(found.where(F.size("leaks") == 0), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
+from tidemark.runtime import materialize
 
 LEVELS = 4
 RARE_PERCENT = 2               # of its parent's URLs; a child with less is variable
@@ -107,9 +108,9 @@ def path_templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
     shapes = urls.withColumn("shape", path_shape(F.col("path"), levels)).groupBy(
         "host", "shape").agg(F.count("*").alias("n"), F.sum("labels").alias("labels"),
                              F.sum("good").alias("good"))
-    shapes = shapes.withColumn("prefix", F.lit(""))
-    for level in range(levels + 1):
-        shapes = _level(shapes, level)
+    shapes = materialize(shapes.withColumn("prefix", F.lit("")), "url-shapes")
+    for level in range(levels + 1):        # stored, as each level reads the one before three times
+        shapes = materialize(_level(shapes, level), "url-shapes")
     templates = shapes.groupBy("host", "prefix").agg(F.sum("labels").alias("labels"),
                                                      F.sum("good").alias("good"))
     hosts = templates.groupBy("host").agg(F.sum("labels").alias("host_labels"),
