@@ -243,14 +243,21 @@ def test_html(spark):
     assert got == "One &lt; two three four"
 
 
+def test_character_references(spark):
+    cases = {"a&#8217;b&#x2019;c&#160;d&eacute;": "a\u2019b\u2019c dé", "&#0;&#xD800;": "\ufffd\ufffd",
+             "AT&T &unknown; &# &;&amp;amp;": "AT&T &unknown; &# &;&amp;", "x &Aacute &hellip;": "x &Aacute …",
+             "seen<script>var a = 1;": "seen", "a<STYLE x>b</style >c": "a c"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    got = {r[0]: r[1] for r in df.select("h", html_to_text(F.col("h"))).collect()}
+    assert got == cases
+
+
 def test_zero_padding(spark):
     got = spark.createDataFrame([(7,), (12345678901,)], "n long").select(zero_padded(F.col("n")))
     assert [r[0] for r in got.collect()] == ["0000000007", "12345678901"]
 
 
-@pytest.mark.parametrize("broadcast_terms", [0, 1000])
-def test_lexicon(spark, monkeypatch, broadcast_terms):
-    monkeypatch.setattr(textual, "BROADCAST_TERMS", broadcast_terms)
+def test_lexicon(spark):
     assert [len(t) for t in TONE_LEXICON.values()] == [99, 32, 39, 94]
     docs = spark.createDataFrame([
         (1, "We may possibly EXPECT a lawsuit; we don't plan."), (2, ""), (3, "123 !")],
@@ -264,7 +271,7 @@ def test_lexicon(spark, monkeypatch, broadcast_terms):
     assert all(wide[i][c] == 0.0 for i in (2, 3) for c in TONE_LEXICON)
     long = textual.lexicon_ratios_from_table(docs, lexicon_table(spark), "doc_id").collect()
     assert {(r["doc_id"], r["category"]): r["ratio"] for r in long} == {
-        (1, c): wide[1][c] for c in TONE_LEXICON}
+        (i, c): wide[i][c] for c in TONE_LEXICON for i in (1, 2, 3)}
 
 
 def _fake_model():
@@ -355,6 +362,41 @@ def test_collecting_twice_adds_nothing(spark):
     assert store.manifest_or_scan(spark, f"{root}/nothing", *stored).count() == 1
 
 
+def test_forcing_one_event_leaves_the_others(spark):
+    texts, b = _store_inputs(spark)
+    root = f"{shared_folder(spark)}/edge-{dt.datetime.now().timestamp()}"
+    collect.collect_events(spark, events(spark, 0, -20), texts, b, root)
+    before = {r["event_date"]: r["n"] for r in collect.stored_parts(spark, root)[1].groupBy(
+        "event_date").agg(F.count("*").alias("n")).collect()}
+    fewer = b.where(F.col("date") >= F.lit(day(0)))
+    collect.collect_events(spark, events(spark, 0), texts, fewer, root, force=True)
+    after = {r["event_date"]: r["n"] for r in collect.stored_parts(spark, root)[1].groupBy(
+        "event_date").agg(F.count("*").alias("n")).collect()}
+    assert after[day(-20)] == before[day(-20)] and after[day(0)] < before[day(0)]
+
+
+def test_a_store_without_texts_and_with_numeric_tickers(spark):
+    texts, b = _store_inputs(spark)
+    named = [d.withColumn("ticker", F.lit("0700")) for d in (events(spark, 0), texts, b)]
+    root = f"{shared_folder(spark)}/edge-{dt.datetime.now().timestamp()}"
+    for _ in range(2):
+        rows = collect.collect_events(spark, named[0], named[1].limit(0), named[2], root).collect()
+        assert [tuple(r) for r in rows] == [("0700", day(0), False, True)]
+    scanned = store.scan_manifest(*collect.stored_parts(spark, root)).collect()
+    assert [tuple(r) for r in scanned] == [("0700", day(0), False, True)]
+
+
+def test_filers_sharing_an_accession_keep_their_texts(spark):
+    texts, _ = _store_inputs(spark)
+    both = texts.unionByName(texts.withColumns({
+        "ticker": F.lit("B"), "text": F.concat(F.lit("other "), "text")}))
+    e = events(spark, 0)
+    e = e.unionByName(e.withColumn("ticker", F.lit("B")))
+    got = features.event_texts(e, both).collect()
+    assert len(got) == 2
+    assert all(r["text"].startswith("other ") == (r["ticker"] == "B") for r in got)
+
+
 # --- metrics and curves -------------------------------------------------------------------------
 
 def _predictions(spark, rows):
@@ -385,12 +427,11 @@ def test_constant_predictions(spark):
     assert got["off"]["r2"] == 0.0 and got["one"]["r2"] is None and got["one"]["ic"] is None
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_perfect_rank_correlation(spark, single_task):
+def test_perfect_rank_correlation(spark):
     rows = [("up", "magnitude", "A", i, float(i), float(i ** 3)) for i in range(9)]
     rows += [("down", "magnitude", "A", i, float(i), float(-i)) for i in range(9)]
     got = {r["model"]: r for r in
-           metrics.rank_correlation(_predictions(spark, rows), single_task).collect()}
+           metrics.rank_correlation(_predictions(spark, rows)).collect()}
     assert got["up"]["ic"] == pytest.approx(1.0) and got["down"]["ic"] == pytest.approx(-1.0)
     assert got["up"]["ic_pval"] == pytest.approx(0.0, abs=1e-6)
 
@@ -408,11 +449,10 @@ def test_all_best_models_are_marked(spark):
     assert [r["is_best"] for r in board.collect()] == [True, True]
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_return_curves(spark, single_task):
+def test_return_curves(spark):
     p = _predictions(spark, [("m", "direction", "B", 0, 0.1, 1.0), ("m", "direction", "A", 0, 0.2, 0.0),
                              ("m", "direction", "A", 1, -0.5, 0.0)])
-    got = curves.return_curves(p, single_task).orderBy("event_index").collect()
+    got = curves.return_curves(p).orderBy("event_index").collect()
     assert [r["cum_strategy"] for r in got] == pytest.approx([0.8, 0.88, 1.32])
     assert [r["cum_buyhold"] for r in got] == pytest.approx([1.2, 1.32, 0.66])
     assert [r["event_index"] for r in got] == [0, 1, 2]

@@ -136,14 +136,14 @@ def test_complete_schema(spark):
 
 
 @pytest.mark.parametrize("ratio", [0.0, 0.1, 0.333, 0.5, 0.7, 1.0])
-@pytest.mark.parametrize("single_task_rows", [0, 1000])
-def test_split_with_hot_days(spark, ratio, single_task_rows):
+@pytest.mark.parametrize("slice_rows", [1, 1000])
+def test_split_with_hot_days(spark, ratio, slice_rows):
     rng = np.random.default_rng(5)
     # a third of the rows fall on one day
     days = [2 if rng.random() < 0.34 else int(rng.integers(0, 6)) for _ in range(90)]
     rows = [(f"T{i:03d}", dt.date(2020, 1, 1) + dt.timedelta(d)) for i, d in enumerate(days)]
     df = spark.createDataFrame(rows, "ticker string, event_date date")
-    train = split.find_boundary(df, ratio, single_task_rows).is_train()
+    train = split.find_boundary(df, ratio, slice_rows).is_train()
     got = {tuple(r) for r in df.where(train).collect()}
     want = sorted(rows, key=lambda r: (r[1], r[0]))[: int(len(rows) * ratio)]
     assert got == set(want)

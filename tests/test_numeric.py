@@ -20,12 +20,12 @@ def _p_by_integration(r, nu):
     return 1 - np.interp(math.asin(abs(r)), t, mass) / mass[-1]
 
 
-@pytest.mark.parametrize("n", [3, 4, 5, 6, 9, 48, 49, 1999, 2002, 2003, 5000, 100_000])
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 9, 48, 49, 1999, 2002, 2003, 5000, 100_000, 1_000_000])
 def test_p_value(spark, n):
     rs = [0.0, 0.5 / math.sqrt(n), -2.0 / math.sqrt(n + 2), 0.9 / math.sqrt(math.sqrt(n))]
     got = [row[0] for row in spark.createDataFrame([(r, n) for r in rs], "r double, n int").select(
         correlation_p_value(F.col("r"), F.col("n"))).collect()]
-    assert got == pytest.approx([_p_by_integration(r, n - 2) for r in rs], abs=2e-6)
+    assert got == pytest.approx([_p_by_integration(r, n - 2) for r in rs], abs=1e-6)
 
 
 def test_p_value_edges(spark):
@@ -34,15 +34,14 @@ def test_p_value_edges(spark):
     assert got == [0.0, 0.0, None, None]
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_average_rank(spark, single_task):
+def test_average_rank(spark):
     rng = np.random.default_rng(3)
     # a third of the rows share one value
     rows = [(m, i, 0.5 if rng.random() < 0.34 else float(rng.integers(0, 200)) / 100)
             for m in ("a", "b") for i in range(800)]
     df = spark.createDataFrame(rows, "model string, i int, x double")
     got = {(r["model"], r["i"]): r["rank"]
-           for r in average_rank(df, ["model"], "x", "rank", single_task).collect()}
+           for r in average_rank(df, ["model"], "x", "rank").collect()}
     assert len(got) == len(rows)
     for m in ("a", "b"):
         xs = np.array([x for k, _, x in rows if k == m])
@@ -51,13 +50,12 @@ def test_average_rank(spark, single_task):
                 assert got[(m, i)] == (xs < x).sum() + ((xs == x).sum() + 1) / 2
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_running_products(spark, single_task):
+def test_running_products(spark):
     rng = np.random.default_rng(4)
     rows = [(m, int(d), f"t{i:04d}", float(1 + rng.normal() / 50))
             for m in ("a", "b") for i, d in enumerate(rng.integers(0, 5, 600))]
     df = spark.createDataFrame(rows, "model string, day int, ticker string, f double")
-    got = running_products(df, ["model"], ["day", "ticker"], {"p": "f"}, "at", single_task)
+    got = running_products(df, ["model"], ["day", "ticker"], {"p": "f"}, "at")
     for m in ("a", "b"):
         mine = got.where(F.col("model") == m).orderBy("day", "ticker").collect()
         want = np.cumprod([f for k, d, t, f in sorted(rows) if k == m])

@@ -4,11 +4,11 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
-from verification import catalog
+from verification import catalog, oracles
 from verification.compare import compare, connect
 from verification.views import Views
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.build(), oracles.build()
 ROWS_ONLY = {"train_grid", "optional_models", "model_persistence", "coefficient_ranking",
              "model_evaluation", "evaluation_report"}
 

@@ -7,20 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Above this many degrees of freedom the finite series of the t distribution is replaced by
-# Wallace's normal approximation, whose error there is below 1e-6.
-_SERIES_LIMIT = 2000
+# fixed values: coefficients of Lanczos' approximation of the gamma function for g = 7
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
+            -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
+            1.5056327351493116e-7)
+_FRACTION_STEPS = 2_000    # the fraction converges in about the root of its larger parameter
+_TINY = 1e-300
 
 
 def ratio_or_zero(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
 
 
-def relative_change(now: Column, before: Column) -> Column:
-    """``now / before - 1``, null when either is missing or the base is 0."""
-    return F.try_divide(now, before) - 1
-
-
 def softmax(logits: list[Column]) -> list[Column]:
     """Softmax over a fixed set of columns, shifted by the maximum so that it cannot overflow."""
     top = F.greatest(*logits)
@@ -31,51 +29,57 @@ def softmax(logits: list[Column]) -> list[Column]:
     return [p / total for p in powers]
 
 
-def _central_mass_series(r: Column, freedom: Column) -> Column:
-    """P(|t| < observed) for an integer number of degrees of freedom, as a finite series.
+def _ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 0.5."""
+    z = x - 1.0
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        total = total + c / (z + float(i))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.ln(t) - t + F.ln(total)
 
-    With r the correlation, the observed angle has sine |r| and squared cosine 1 - r^2, so no
-    division by 1 - r^2 is needed (Abramowitz & Stegun 26.7.3 and 26.7.4).
-    """
-    c2 = 1.0 - r * r
-    even = freedom % 2 == 0
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def series(last: Column, shift: int) -> Column:
-        def step(acc, k):
-            term = acc["term"] * c2 * (2 * k + shift - 1) / (2 * k + shift)
-            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-        steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda acc: acc["total"])
-
-    half = (F.floor(freedom / 2)).cast("int")
-    even_mass = F.abs(r) * series(half - 1, 0)
-    odd_tail = F.when(freedom > 1, F.abs(r) * F.sqrt(c2) * series(half - 1, 1)).otherwise(0.0)
-    odd_mass = (2.0 / math.pi) * (F.asin(F.abs(r)) + odd_tail)
-    return F.when(even, even_mass).otherwise(odd_mass)
-
-
-def _upper_normal_tail_twice(z: Column) -> Column:
-    """P(|N| > z) for z >= 0 (Chebyshev fit of erfc, relative error below 1.2e-7)."""
-    x = z / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.5 * x)
-    # fixed values: coefficients of the published fit, from the constant term upwards
-    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-           0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(fit[-1])
-    for c in reversed(fit[:-1]):
-        poly = poly * t + c
-    return t * F.exp(-x * x + poly)
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    def safe(v):
+        return F.when(F.abs(v) < _TINY, _TINY).otherwise(v)
+
+    d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+
+    def half(acc, term):
+        d = 1.0 / safe(1.0 + term * acc["d"])
+        c = safe(1.0 + term / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    def even(acc, m):
+        return half(acc, m * (b - m) * x / ((a - 1.0 + 2.0 * m) * (a + 2.0 * m)))
+
+    def odd(acc, m):
+        return half(acc, -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 1.0 + 2.0 * m)))
+
+    steps = F.transform(F.sequence(F.lit(2), F.lit(2 * _FRACTION_STEPS + 1)),
+                        lambda k: F.struct(F.floor(k / 2).cast("double").alias("m"),
+                                           (k % 2 == 0).alias("even")))
+    return F.aggregate(steps, start,
+                       lambda acc, k: F.when(k["even"], even(acc, k["m"]))
+                       .otherwise(odd(acc, k["m"])), lambda acc: acc["h"])
+
+
+def _beta_share(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """Regularised incomplete beta function at x = 1 - ``rest``, both in (0, 1)."""
+    front = F.exp(_ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b) + a * F.ln(x) + b * F.ln(rest))
+    return F.when(x < (a + 1.0) / (a + b + 2.0), front * _beta_fraction(a, b, x) / a).otherwise(
+        1.0 - front * _beta_fraction(b, a, rest) / b)
 
 
 def correlation_p_value(r: Column, n: Column) -> Column:
-    """Two-sided p-value of a correlation ``r`` of ``n`` pairs under t with n - 2 freedom."""
-    freedom = (n - 2).cast("long")
-    series = 1.0 - _central_mass_series(r, freedom)
-    log_term = F.ln(1.0 - r * r)            # null at |r| = 1
-    z = (8.0 * freedom + 1.0) / (8.0 * freedom + 3.0) * F.sqrt(-freedom * log_term)
-    p = F.when(F.abs(r) >= 1.0, 0.0).when(freedom <= _SERIES_LIMIT, series).otherwise(
-        _upper_normal_tail_twice(z))
-    return F.when(r.isNotNull() & (n > 2), F.greatest(p, F.lit(0.0)))
+    """Two-sided p-value of a correlation ``r`` of ``n`` pairs under t with n - 2 freedom.
+
+    It is the regularised incomplete beta function of 1 - r^2 for (n - 2) / 2 and 1 / 2.
+    """
+    square = r * r
+    half = F.greatest((n - 2).cast("double") / 2.0, F.lit(0.5))
+    p = (F.when(F.abs(r) >= 1.0, 0.0).when(square < _TINY, 1.0)
+         .otherwise(_beta_share(half, F.lit(0.5), 1.0 - square, square)))
+    return F.when(r.isNotNull() & (n > 2), F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,16 +14,9 @@ from tidemark import settings
 _SPACE = r"(?U)\s+"
 _WORD = r"(?U)\S+"
 
-# Named entities of everyday prose, decoded after the tags are gone; &amp; comes last so that
-# "&amp;lt;" ends up as "&lt;".
-_ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&hellip;", "…"), ("&sect;", "§"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&amp;", "&"),
-)
+# Character references: decimal, hexadecimal, or one of HTML's names.
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 
 
 def word_count(text: Column) -> Column:
@@ -49,14 +43,44 @@ def only(token_array: str, terms: Iterable[str]) -> str:
     return f"filter({token_array}, t -> t in ({quoted}))"
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    point = F.when(valid, code).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def decode_references(text: Column) -> Column:
+    """Character references replaced, each once, so that ``&amp;lt;`` becomes ``&lt;``.
+
+    What is no reference, or an unknown name, stays as it is.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def piece(part: Column) -> Column:
+        reference = F.regexp_extract(part, _REFERENCE, 1)
+        base = F.when(F.lower(F.substring(reference, 2, 1)) == "x", 16).otherwise(10)
+        digits = F.regexp_replace(reference, "^#[xX]?", "")
+        number = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        value = (F.when(reference == "", F.lit(None))
+                 .when(F.startswith(reference, F.lit("#")), character(number))
+                 .otherwise(F.try_element_at(names, reference)))
+        rest = F.substring(part, F.length(reference) + 2, F.length(part))
+        return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&", -1)
+    later = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(F.contains(text, F.lit("&")), F.concat(
+        F.element_at(parts, 1), F.array_join(later, ""))).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text of a page: no scripts, styles, comments or tags, single spaces."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    """Visible text of a page: no scripts, styles, comments or tags, references decoded, single
+    spaces.  An unclosed script or style reaches to the end."""
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for name, char in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, _SPACE, " "))
+    return F.trim(F.regexp_replace(decode_references(out), _SPACE, " "))
 
 
 def chunks(token_array: str, size: int = settings.CHUNK_TOKENS) -> str:

@@ -10,16 +10,13 @@ from tidemark.operators.metrics import with_labels
 from tidemark.operators.ordering import running_products
 
 
-def return_curves(predictions: DataFrame, single_task: bool | None = None) -> DataFrame:
+def return_curves(predictions: DataFrame) -> DataFrame:
     """Cumulative long/short strategy return and buy-and-hold return of each direction model.
 
-    Long when the predicted label is 1, short when it is 0, in (event_date, ticker) order.  Unless
-    told, the form of the running product is chosen by the number of rows.
+    Long when the predicted label is 1, short when it is 0, in (event_date, ticker) order.
     """
     rows = with_labels(predictions).select(
         "model", "event_date", "ticker", "actual", "predicted_label")
-    if single_task is None:
-        single_task = rows.count() <= settings.SINGLE_TASK_ROWS
     position = F.when(F.col("predicted_label") == 1, 1.0).when(F.col("predicted_label") == 0, -1.0)
     rows = rows.withColumns({
         "position": position,
@@ -29,7 +26,7 @@ def return_curves(predictions: DataFrame, single_task: bool | None = None) -> Da
     out = running_products(
         rows, ["model"], ["event_date", "ticker"],
         {"cum_strategy": "growth_strategy", "cum_buyhold": "growth_buyhold"},
-        index="event_index", single_task=single_task)
+        index="event_index")
     return out.select("model", "event_index", "event_date", "ticker", "position",
                       "cum_strategy", "cum_buyhold")
 
@@ -51,8 +48,9 @@ def histogram(rows: DataFrame, columns: tuple[str, ...] = ("sentiment_score", "u
         F.when(flat, F.max("x") + 0.5).otherwise(F.max("x")).alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     number = F.least(F.floor((F.col("x") - F.col("low")) / width).cast("int") + 1, F.lit(bins))
-    counts = (long.join(ranges, "column_name").groupBy("column_name", number.alias("bin"))
-              .agg(F.count("*").alias("n")))
+    # One row a named column, so the broadcast does not grow with the data.
+    counts = (long.join(F.broadcast(ranges), "column_name")
+              .groupBy("column_name", number.alias("bin")).agg(F.count("*").alias("n")))
     grid = ranges.select("column_name", "low", width.alias("width"),
                          F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return grid.join(counts, ["column_name", "bin"], "left").select(

@@ -60,12 +60,12 @@ def missing_counts(matrix: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def complete_schema(matrix: DataFrame, columns=settings.FEATURE_COLUMNS) -> DataFrame:
-    """Every feature column as a number: absent ones and values that are no number become 0."""
+    """Every feature column as a number: absent ones, NaN and what is no number become 0."""
     def number(name: str):
         if name not in matrix.columns:
             return F.lit(0.0)
         kind = matrix.schema[name].dataType.simpleString()
         value = F.col(name).cast("int") if kind == "boolean" else F.col(name)
-        return F.coalesce(value.try_cast("double"), F.lit(0.0))
+        return F.coalesce(F.nanvl(value.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
     return matrix.withColumns({c: number(c) for c in columns})

@@ -1,6 +1,6 @@
 """Exact k nearest neighbours between two tables, without a cross join.
 
-The training rows are grouped around a bounded set of pivots.  From the distances to the pivots and
+The training rows are grouped around pivots, whose number grows with the root of the rows.  From the distances to the pivots and
 the radius of each group, the triangle inequality gives every query row an upper bound for its k-th
 neighbour and with it the groups that can hold one; only those are visited.  Groups are cut into
 blocks of bounded size on both sides, so a group that holds a large part of the data becomes many
@@ -10,6 +10,7 @@ dropped: a group is skipped only when it provably cannot contribute.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from tidemark.runtime import ship_by_value
 
 ship_by_value(__name__)
 
+PIVOT_SHARE = 8
 _SLACK = 1e-9      # relative slack on pruning bounds against floating-point error
 
 
@@ -56,7 +58,7 @@ def _place(kept: DataFrame, asked: DataFrame, n_key: list[str], wanted: int, wid
     with their ``cell``, and the training rows per cell."""
     # a pseudo-random draw by key, so that many copies of one point yield one pivot among others
     drawn = (kept.orderBy(F.xxhash64(*n_key), *n_key).limit(4 * wanted)
-             .select("t_vec").collect())          # at most 1024 vectors
+             .select("t_vec").collect())          # a few vectors a pivot
     centres = np.array(list(dict.fromkeys(tuple(r["t_vec"]) for r in drawn))[:wanted],
                        dtype=float).reshape(-1, width)
 
@@ -74,7 +76,7 @@ def _place(kept: DataFrame, asked: DataFrame, n_key: list[str], wanted: int, wid
     sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("reach").alias("radius")).collect()}
     nearest_members = (placed.select("cell", "reach", F.row_number().over(closest).alias("i"))
-                       .where(F.col("i") <= k).collect())       # at most 256 * k numbers
+                       .where(F.col("i") <= k).collect())       # at most k numbers a pivot
     radius = np.array([sizes[c]["radius"] if c in sizes else -np.inf for c in range(len(centres))])
     members = np.full((len(centres), k), np.inf)
     for r in nearest_members:
@@ -107,24 +109,20 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: list[str]
 
     Returns the query key, ``n_<key>`` and ``n_<carry>`` of each neighbour, ``distance`` and
     ``rank`` (ties by neighbour key).  Both inputs are read several times and should be stored.
+    A null or NaN feature counts as 0, the mean of a scaled one.  ``pivots`` is by default about a
+    ``PIVOT_SHARE``-th of the square root of the training rows.
     """
-    vector = F.array(*[F.col(c).cast("double") for c in features])
+    vector = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+                       for c in features])
     n_key = [f"n_{c}" for c in key]
     n_carry = [f"n_{c}" for c in carry]
     kept = train.select(*[F.col(c).alias(f"n_{c}") for c in (*key, *carry)], vector.alias("t_vec"))
     asked = queries.select(*key, vector.alias("q_vec"))
 
-    total = kept.count()
-    wanted = pivots or int(min(256, max(1, total // block_rows)))
+    wanted = pivots or 1 + math.isqrt(kept.count()) // PIVOT_SHARE
     width = len(features)
-    if wanted == 1:      # one cell: nothing to prune, no pass over the rows to place them
-        cells = 1
-        placed, candidates = (d.withColumn("cell", F.lit(0)) for d in (kept, asked))
-        rows_per_cell, asked_per_cell = {0: total}, {0: asked.count()}
-    else:
-        cells, placed, candidates, rows_per_cell = _place(kept, asked, n_key, wanted, width, k)
-        asked_per_cell = {r["cell"]: r["count"]
-                          for r in candidates.groupBy("cell").count().collect()}
+    cells, placed, candidates, rows_per_cell = _place(kept, asked, n_key, wanted, width, k)
+    asked_per_cell = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}
 
     def blocks(counts: dict) -> F.Column:
         parts = [F.lit(max(1, -(-counts.get(c, 0) // block_rows))) for c in range(cells)]

@@ -94,17 +94,14 @@ def error_metrics(predictions: DataFrame) -> DataFrame:
     return sums.select("model", "n", "mae", F.sqrt("mse").alias("rmse"), r2.alias("r2"))
 
 
-def rank_correlation(predictions: DataFrame, single_task: bool | None = None) -> DataFrame:
+def rank_correlation(predictions: DataFrame) -> DataFrame:
     """Spearman correlation of actual and predicted per magnitude model, with its p-value.
 
-    Null for fewer than three rows or a constant side.  Unless told, the form of the ranking is
-    chosen by the number of rows.
+    Null for fewer than three rows or a constant side.
     """
     rows = of_type(predictions, "magnitude").select("model", "actual", "predicted")
-    if single_task is None:
-        single_task = rows.count() <= settings.SINGLE_TASK_ROWS
-    ranked = average_rank(rows, ["model"], "actual", "ra", single_task)
-    ranked = average_rank(ranked, ["model"], "predicted", "rp", single_task)
+    ranked = average_rank(rows, ["model"], "actual", "ra")
+    ranked = average_rank(ranked, ["model"], "predicted", "rp")
     parts = ranked.groupBy("model").agg(
         F.count("*").alias("n"), F.covar_pop("ra", "rp").alias("c"),
         F.var_pop("ra").alias("va"), F.var_pop("rp").alias("vp"))
@@ -114,9 +111,9 @@ def rank_correlation(predictions: DataFrame, single_task: bool | None = None) ->
         "ic_pval", correlation_p_value(F.col("ic"), F.col("n")))
 
 
-def regression_metrics(predictions: DataFrame, single_task: bool | None = None) -> DataFrame:
+def regression_metrics(predictions: DataFrame) -> DataFrame:
     return error_metrics(predictions).join(
-        rank_correlation(predictions, single_task).drop("n"), "model", "left")
+        rank_correlation(predictions).drop("n"), "model", "left")
 
 
 def accuracy_by_entity(predictions: DataFrame) -> DataFrame:

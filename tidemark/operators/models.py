@@ -179,7 +179,7 @@ def _estimator(key: str, model_type: str, train: DataFrame, n: int, p: ModelSett
                     featureSubsetStrategy="sqrt" if direction else "all", **weight)
     kind = GBTClassifier if direction else GBTRegressor
     return kind(maxIter=p.rounds, maxDepth=p.boosting_depth, stepSize=p.learning_rate,
-                seed=p.seed, checkpointInterval=-1 if p.rounds < 20 else 10)
+                seed=p.seed, checkpointInterval=10)
 
 
 class NeighbourModel:

@@ -30,41 +30,32 @@ def _slice_offsets(slices: DataFrame, by: list[str], total: Column, running) ->
             .select(*by, "_slice", running(F.col("_total")).over(before).alias("_offset")))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str,
-                 single_task: bool = False) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Add the average rank of ``value`` within each ``by`` group (ties share their mean rank).
 
-    Equal values are collapsed to one counted row first, so ties of any size cost one row.  The
-    single-task form orders each group in one task; the other one works on range slices.
+    Equal values are collapsed to one counted row first, so ties of any size cost one row.  Ranks
+    come back by a join that adaptive execution splits where one value has very many rows.  A null
+    value has a null rank.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    within = W.partitionBy(*by).orderBy(value).rowsBetween(*_BEFORE)
-    if single_task:
-        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    else:
-        slices = ordered_slices(counts, [*by, value])
-        offsets = _slice_offsets(slices, by, F.sum("_n"), F.sum)
-        inside = W.partitionBy(*by, "_slice").orderBy(value).rowsBetween(*_BEFORE)
-        placed = (
-            slices.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .join(offsets, [*by, "_slice"])
-            .withColumn("_before", F.col("_inside") + F.coalesce("_offset", F.lit(0)))
-        )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    slices = ordered_slices(counts, [*by, value])
+    offsets = _slice_offsets(slices, by, F.sum("_n"), F.sum)
+    inside = W.partitionBy(*by, "_slice").orderBy(value).rowsBetween(*_BEFORE)
+    placed = (
+        slices.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(offsets, [*by, "_slice"])
+        .withColumn("_before", F.col("_inside") + F.coalesce("_offset", F.lit(0)))
+    )
     ranks = placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*by, value])
+    return df.join(ranks, [*by, value], "left")
 
 
 def running_products(df: DataFrame, by: list[str], order: list[str], factors: dict[str, str],
-                     index: str | None = None, single_task: bool = False) -> DataFrame:
+                     index: str | None = None) -> DataFrame:
     """Add cumulative products of the ``factors`` (output name -> column) in ``order``.
 
     ``index`` optionally names a 0-based position column.  ``order`` must be unique per group.
     """
-    if single_task:
-        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        out = df.withColumns({n: F.product(c).over(upto) for n, c in factors.items()})
-        return out.withColumn(index, F.count("*").over(upto) - 1) if index else out
-
     slices = ordered_slices(df, [*by, *order])
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(*_BEFORE)
     totals = slices.groupBy(*by, "_slice").agg(
@@ -83,36 +74,24 @@ def running_products(df: DataFrame, by: list[str], order: list[str], factors: di
 
 
 def exact_medians(df: DataFrame, columns: list[str],
-                  limit: int = settings.SINGLE_TASK_ROWS) -> dict[str, float | None]:
+                  limit: int = settings.BRACKET_VALUES) -> dict[str, float | None]:
     """Exact medians of numeric columns (mean of the middle two), without a shuffle of values.
 
-    Up to ``limit`` rows this is one plain aggregate.  Beyond it, each pass brackets the wanted
-    order statistics with approximate quantiles and counts what lies below, until what is left
-    between the brackets is at most ``limit`` values, which are then looked at exactly.  Only a
-    few numbers per column reach the driver in each pass.
+    Each pass brackets the wanted order statistics of all columns with approximate quantiles and
+    counts what lies below, until at most ``limit`` values are left between the brackets; one more
+    pass then looks at all of those exactly.  ``limit`` bounds what a task holds, and the result is
+    the same for any.  Only a few numbers per column reach the driver in each pass.
 
     ``df`` is read several times and should be a stored table.
     """
-    counts = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
-    if counts["_rows"] <= limit:
-        return df.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
-
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     # one target per wanted order statistic: column, 0-based rank inside the open bracket
     found: dict[tuple[str, int], float] = {}
     targets = {}
     for c in columns:
         for rank in {(counts[c] - 1) // 2, counts[c] // 2} if counts[c] else ():
             targets[(c, rank)] = {"rank": rank, "size": counts[c], "lo": None, "hi": None}
-    while targets:
-        items = list(targets.items())
-        small = [(k, t) for k, t in items if t["size"] <= limit]
-        for k, t in small:
-            values = df.select(F.array_sort(F.collect_list(_inside(k[0], t))).alias("v"))
-            found[k] = values.select(F.element_at("v", t["rank"] + 1)).first()[0]
-            del targets[k]
-        items = list(targets.items())
-        if not items:
-            break
+    while items := [(k, t) for k, t in targets.items() if t["size"] > limit]:
         brackets = df.agg(*[
             F.percentile_approx(_inside(k[0], t), _bracket(t), 20_000).alias(f"q{i}")
             for i, (k, t) in enumerate(items)]).first()
@@ -135,6 +114,12 @@ def exact_medians(df: DataFrame, columns: list[str],
             else:
                 targets[k] = {"rank": rank - seen[f"l{i}"], "size": seen[f"m{i}"],
                               "lo": lo, "hi": hi}
+    if targets:
+        items = list(targets.items())
+        rest = df.agg(*[
+            F.element_at(F.array_sort(F.collect_list(_inside(k[0], t))), t["rank"] + 1)
+            .alias(f"v{i}") for i, (k, t) in enumerate(items)]).first()
+        found.update((k, rest[f"v{i}"]) for i, (k, _) in enumerate(items))
     out: dict[str, float | None] = {}
     for c in columns:
         values = [v for (name, _), v in sorted(found.items()) if name == c]

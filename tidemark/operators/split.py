@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import settings
-from tidemark.operators.ordering import ordered_slices
+from tidemark.runtime import materialize
 
 KEY = list(settings.META_COLUMNS)
 
@@ -32,11 +32,11 @@ class Boundary:
 
 
 def find_boundary(matrix: DataFrame, ratio: float = settings.TRAIN_RATIO,
-                  single_task_rows: int = settings.SINGLE_TASK_ROWS) -> Boundary:
+                  slice_rows: int = settings.BRACKET_VALUES) -> Boundary:
     """Where the first ``int(n * ratio)`` rows in (event_date, ticker) order end.
 
     Rows are counted per day (at most one number per calendar day), and only the boundary day is
-    looked at by ticker, in range slices if it is large.  The result is a plain predicate that the
+    looked at by ticker, in range slices of at most about ``slice_rows`` rows.  The result is a plain predicate that the
     scan of a stored matrix can use.
     """
     days = matrix.groupBy("event_date").agg(F.count("*").alias("n"))
@@ -52,21 +52,26 @@ def find_boundary(matrix: DataFrame, ratio: float = settings.TRAIN_RATIO,
     inside = row["cut"] - (row["upto"] - row["n"])
     return Boundary(row["event_date"],
                     _ticker_at(matrix.where(F.col("event_date") == F.lit(row["event_date"])),
-                               inside, row["n"] <= single_task_rows))
-
-
-def _ticker_at(day_rows: DataFrame, position: int, single_task: bool) -> str:
-    """The ``position``-th ticker (1-based) of one day's rows."""
-    names = day_rows.select("ticker")
-    if not single_task:
-        slices = ordered_slices(names, ["ticker"])
-        for part in slices.groupBy("_slice").count().orderBy("_slice").toLocalIterator():
-            if position <= part["count"]:
-                names = slices.where(F.col("_slice") == part["_slice"]).select("ticker")
-                break
-            position -= part["count"]
-    ranked = names.withColumn("rn", F.row_number().over(W.orderBy("ticker")))
-    return ranked.where(F.col("rn") == position).first()["ticker"]
+                               inside, row["n"], slice_rows))
+
+
+def _ticker_at(day_rows: DataFrame, position: int, rows: int, slice_rows: int) -> str:
+    """The ``position``-th ticker (1-based) of one day's rows.
+
+    Counted tickers are range-sliced so that a slice stays small however large the day is; slice
+    totals lead to the one slice that holds the position.
+    """
+    names = day_rows.groupBy("ticker").agg(F.count("*").alias("n"))
+    ranged = names.repartitionByRange(-(-rows // slice_rows), "ticker")
+    slices = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    totals = slices.groupBy("_slice").agg(F.sum("n").alias("n")).orderBy("_slice")
+    for part in totals.toLocalIterator():
+        if position <= part["n"]:
+            break
+        position -= part["n"]
+    upto = F.sum("n").over(W.orderBy("ticker"))
+    inside = slices.where(F.col("_slice") == part["_slice"]).withColumn("upto", upto)
+    return inside.where(F.col("upto") >= position).orderBy("ticker").first()["ticker"]
 
 
 def chronological_split(matrix: DataFrame, ratio: float = settings.TRAIN_RATIO

@@ -19,7 +19,6 @@ ship_by_value(__name__)
 _SENTIMENT = settings.TEXT_FEATURES[:4]
 _SHARPNESS = 20.0      # weight of a hit share in the bundled scorer's logits
 _NEUTRAL_LOGIT = 1.0
-BROADCAST_TERMS = 200_000     # a few megabytes
 
 
 def lexicon_ratios(docs: DataFrame, lexicon: Lexicon = TONE_LEXICON, text: str = "text"
@@ -50,21 +49,22 @@ def lexicon_ratios_from_table(docs: DataFrame, lexicon: DataFrame, key: str,
                               text: str = "text") -> DataFrame:
     """The same ratios, long form ``key, category, ratio``, for a lexicon of any size in a table.
 
-    Only categories with a hit have a row.  Tokens meet the lexicon before anything is grouped, so
-    the shuffle carries one row per document and category.  A lexicon that was counted and found
-    small is broadcast; a larger one is joined by term, and adaptive execution splits frequent
-    terms.
+    Every document has a row in every category of the lexicon, 0 without a hit.  Tokens are counted
+    per document and term before they meet the lexicon, so a frequent word is one row a document.
+    ``key`` must be unique.
     """
     terms = lexicon.select("category", "term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(key, tokens(F.col(text)).alias("_tokens")).select(
-        key, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term"))
-    return (
-        words.join(terms, "term")
-        .groupBy(key, "category")
-        .agg((F.count("*") / F.max("_n")).alias("ratio"))
-    )
+    counted = docs.select(F.col(key), tokens(F.col(text)).alias("_tokens")).select(
+        key, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term")).groupBy(
+        key, "term").agg(F.count("*").alias("_hits"), F.max("_n").alias("_n"))
+    hits = counted.join(terms, "term").groupBy(key, "category").agg(
+        (F.sum("_hits") / F.max("_n")).alias("_ratio"))
+    # One array of the lexicon's categories, whatever the number of documents.
+    categories = terms.agg(F.collect_set("category").alias("_categories"))
+    every = docs.select(key).withColumn("_categories", categories.scalar()).select(
+        key, F.explode("_categories").alias("category"))
+    return every.join(hits, [key, "category"], "left").select(
+        key, "category", F.coalesce("_ratio", F.lit(0.0)).alias("ratio"))
 
 
 def _polarity_hits(chunk: str, polarity: Lexicon) -> str:

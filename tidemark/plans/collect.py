@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark import settings
+from tidemark import schemas, settings
 from tidemark.operators import prices
 from tidemark.plans import features
 from tidemark.sources import store
@@ -26,16 +26,16 @@ def collect_events(spark: SparkSession, events: DataFrame, filings: DataFrame, b
     stored = {}
     for name, produce in parts.items():
         path = f"{root}/{name}"
-        present = read_stored(spark, path)
+        schema = produce(events.limit(0)).schema
+        present = store.read_if_stored(spark, path, schema)
         store.append_missing(events, produce, path, present, force)
-        stored[name] = spark.read.parquet(path)
+        stored[name] = spark.read.schema(schema).parquet(path)
     manifest = store.build_manifest(events, stored["texts"], stored["bars"])
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")
-    return spark.read.parquet(f"{root}/manifest")
+    return spark.read.schema(schemas.MANIFEST).parquet(f"{root}/manifest")
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None when nothing was stored there before."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(location) else None
+def stored_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The stored texts and bar windows of an earlier collection."""
+    return (spark.read.schema(schemas.STORED_TEXTS).parquet(f"{root}/texts"),
+            spark.read.schema(schemas.STORED_BARS).parquet(f"{root}/bars"))

@@ -11,6 +11,7 @@ from tidemark.operators import documents, fusion, prices, textual
 from tidemark.runtime import materialize
 
 EVENT = list(settings.META_COLUMNS)
+FILING = ["ticker", "accession"]      # several filers may share an accession
 
 
 def event_filings(events: DataFrame, filings: DataFrame, causal: bool = False) -> DataFrame:
@@ -27,17 +28,19 @@ def event_filings(events: DataFrame, filings: DataFrame, causal: bool = False) -
 def event_texts(events: DataFrame, filings: DataFrame, causal: bool = False) -> DataFrame:
     """The chosen filing with its text.
 
-    Only texts that could be chosen at all (preferred form, long enough) are joined.
+    Only texts that could be chosen at all (preferred form, long enough) are joined.  The picks are
+    stored first: their measured size decides whether they are broadcast, so that no text is
+    shuffled, or a runtime filter built from them keeps other texts out of the shuffle.
     """
-    picks = event_filings(events, filings, causal)
-    return picks.join(_pickable(filings), "accession").select(
+    picks = materialize(event_filings(events, filings, causal), "picks")
+    return picks.join(_pickable(filings), FILING).select(
         *EVENT, "accession", "form", "filing_date", "text")
 
 
 def _pickable(filings: DataFrame) -> DataFrame:
     """Key and text of the filings that may be chosen; both filters run in the scan."""
     wanted = filings.where(F.col("form").isin(*settings.FORM_TYPES))
-    return wanted.where(long_enough(F.col("text"))).select("accession", "text")
+    return wanted.where(long_enough(F.col("text"))).select(*FILING, "text")
 
 
 def event_text_features(events: DataFrame, filings: DataFrame,
@@ -50,11 +53,12 @@ def event_text_features(events: DataFrame, filings: DataFrame,
     """
     scorer = scorer or textual.LexiconScorer()
     if not isinstance(scorer, textual.LexiconScorer):
-        picks = event_filings(events, filings, causal)
-        chosen = _pickable(filings).join(
-            picks.select("accession").distinct(), "accession", "left_semi")
-        features = textual.text_features(chosen, "accession", scorer)
-        return picks.join(features, "accession").select(*EVENT, *settings.TEXT_FEATURES)
+        picks = materialize(event_filings(events, filings, causal), "picks")
+        chosen = _pickable(filings).join(picks.select(*FILING).distinct(), FILING, "left_semi")
+        chosen = chosen.select(F.struct(*FILING).alias("filing"), "text")
+        features = textual.text_features(chosen, "filing", scorer).select(
+            "filing.*", *settings.TEXT_FEATURES)
+        return picks.join(features, FILING).select(*EVENT, *settings.TEXT_FEATURES)
 
     pickable = F.col("form").isin(*settings.FORM_TYPES)
     candidates = documents.of_forms(filings).select(

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import settings
+from tidemark import schemas, settings
 from tidemark.operators import models
 from tidemark.operators.fusion import complete_schema
 from tidemark.operators.models import ModelSettings
@@ -76,7 +76,7 @@ def train_all(matrix: DataFrame, horizons: Iterable[int] = settings.TARGET_HORIZ
         return [], test
     sizes = train.agg(*[F.count(t).alias(t) for t in targets]).first()
     specs = [s for s in specs if sizes[f"ret_{s[0]}d"] >= settings.MIN_TRAIN_ROWS]
-    kept = {(h, kind): training_rows(train, h, kind).persist() for h, kind, _ in specs}
+    kept = {(h, kind): training_rows(train, h, kind) for h, kind, _ in specs}
 
     def fit(spec: tuple[int, str, str]) -> TrainedModel:
         horizon, kind, key = spec
@@ -93,9 +93,6 @@ def train_all(matrix: DataFrame, horizons: Iterable[int] = settings.TARGET_HORIZ
         trained = pool.map(inheritable_thread_target(spark)(fit), specs, chunksize=1)
     finally:
         pool.close()
-        for rows in kept.values():
-            if not any(key == "knn" for _, _, key in specs):
-                rows.unpersist()
     if output:
         registry = [(m.name, m.model_type, m.horizon, m.key, m.path) for m in trained]
         spark.createDataFrame(registry, REGISTRY_SCHEMA).coalesce(1).write.mode(
@@ -120,6 +117,8 @@ def score(model: TrainedModel, test: DataFrame) -> DataFrame:
 
 
 def score_all(trained: list[TrainedModel], test: DataFrame) -> DataFrame:
-    """Predictions of all models, computed once and stored."""
+    """Predictions of all models, computed once and stored; none for an empty grid."""
+    if not trained:
+        return test.sparkSession.createDataFrame([], schemas.PREDICTIONS)
     parts = [score(m, test) for m in trained]
     return materialize(reduce(DataFrame.unionByName, parts), "predictions")

@@ -22,20 +22,16 @@ FILING_BLOCK = _struct(
     ("accessionNumber", T.ArrayType(STRING)),
     ("primaryDocument", T.ArrayType(STRING)),
 )
-FILINGS = _struct(("cik", STRING), ("accession", STRING), ("form", STRING),
-                  ("filing_date", DATE), ("primary_document", STRING), ("ord", LONG))
-FILING_TEXT = _struct(("ticker", STRING), ("event_date", DATE), ("text", STRING))
-
-EVENTS = _struct(("ticker", STRING), ("event_date", DATE))
+STORED_TEXTS = _struct(("ticker", STRING), ("event_date", DATE), ("accession", STRING),
+                       ("form", STRING), ("filing_date", DATE), ("text", STRING))
 CALENDAR = _struct(("ticker", STRING), ("event_ts", T.TimestampNTZType()))
 BARS = _struct(("ticker", STRING), ("date", DATE), ("open", DOUBLE), ("high", DOUBLE),
                ("low", DOUBLE), ("close", DOUBLE), ("volume", DOUBLE))
+STORED_BARS = _struct(("ticker", STRING), ("event_date", DATE), *[
+    (f.name, f.dataType) for f in BARS if f.name != "ticker"])
 MANIFEST = _struct(("ticker", STRING), ("event_date", DATE),
                    ("has_text", T.BooleanType()), ("has_prices", T.BooleanType()))
 
-SENTIMENT = _struct(("pos", DOUBLE), ("neg", DOUBLE), ("neu", DOUBLE))
-
-
 def feature_matrix(horizons=settings.TARGET_HORIZONS) -> T.StructType:
     return _struct(
         ("ticker", STRING), ("event_date", DATE), (settings.MISSING_FLAG, T.BooleanType()),

@@ -47,6 +47,5 @@ EXTENT_MARGIN = 0.005
 
 # --- sizes that only steer execution ------------------------------------------------------------
 
-# Up to this many rows an ordered computation may run as one window partition, or an exact
-# median as one aggregate; above it the range-sliced or narrowing form is used.
-SINGLE_TASK_ROWS = 1_000_000
+# Values between a median's brackets that one task looks at in the end.
+BRACKET_VALUES = 20_000

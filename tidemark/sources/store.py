@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas, settings
+from tidemark.runtime import materialize
 
 KEY = list(settings.META_COLUMNS)
 
@@ -30,13 +32,31 @@ def not_stored(events: DataFrame, stored: DataFrame | None, force: bool = False,
     return events.join(stored.select(*key), key, "left_anti")
 
 
+def read_if_stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path``, or None when nothing was ever stored there.
+
+    The schema is given, so an empty table can be read and a partition value keeps its type.
+    """
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def append_missing(events: DataFrame, produce, path: str, stored: DataFrame | None,
                    force: bool = False, partition_by: tuple[str, ...] = ("ticker",)) -> None:
     """Produce and store rows for the events that are not stored yet.
 
-    ``produce`` maps an event table to the rows to keep.  With ``force`` everything is replaced.
+    ``produce`` maps an event table to the rows to keep.  With ``force`` the rows of the given
+    events are replaced and all others stay: the new table is first stored whole beside the old
+    one, which is then overwritten from it.
     """
     rows = produce(not_stored(events, stored, force))
+    if force and stored is not None:
+        others = stored.join(events.select(*KEY).distinct(), KEY, "left_anti")
+        rows = materialize(others.unionByName(rows.select(*others.columns)), "replaced")
     write_partitioned(rows, path, partition_by,
                       "overwrite" if force or stored is None else "append")
 
@@ -63,12 +83,8 @@ def _flags(events: DataFrame | None, texts: DataFrame, bars: DataFrame, how: str
 def manifest_or_scan(spark: SparkSession, manifest_path: str, texts: DataFrame,
                      bars: DataFrame) -> DataFrame:
     """The stored manifest when there is one, else the one derived from the store."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(manifest_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        return spark.read.schema(schemas.MANIFEST).parquet(manifest_path)
-    return scan_manifest(texts, bars)
+    stored = read_if_stored(spark, manifest_path, schemas.MANIFEST)
+    return scan_manifest(texts, bars) if stored is None else stored
 
 
 def coverage(manifest: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.functions.text import ENTITIES
 from verification.views import AS_OF, POLARITY_PROXY, TONE_PROXY
 
 TEXT_COLUMNS = ("sentiment_score", "positive_prob", "negative_prob", "neutral_prob",
@@ -325,12 +326,20 @@ def build() -> dict[str, str]:
       where filing_date is not null"""
 
     # text
-    plain = """trim(regexp_replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'),
-        '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'),
-        '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-      '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+    names = ", ".join("'" + k + "': '" + v.replace("'", "''") + "'" for k, v in ENTITIES.items())
+    bare = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+        '(?is)<script\\b[^>]*>.*?(</script\\s*>|\\z)', ' ', 'g'),
+        '(?is)<style\\b[^>]*>.*?(</style\\s*>|\\z)', ' ', 'g'),
+        '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+    ref = ("regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});', 1)")
+    code = f"""(case when lower(substr({ref}, 2, 1)) = 'x'
+        then ('0x' || substr({ref}, 3))::bigint else substr({ref}, 2)::bigint end)"""
+    value = f"""case when {ref} = '' then null when {ref}[1] = '#' then case when
+        {code} between 1 and 55295 or {code} between 57344 and 1114111
+        then chr({code}::int) else chr(65533) end else map {{{names}}}[{ref}] end"""
+    plain = f"""trim(regexp_replace(string_split({bare}, '&')[1] || array_to_string(list_transform(
+        string_split({bare}, '&')[2:], lambda p: coalesce(({value}) || substr(p, length({ref}) + 2),
+        '&' || p)), ''), '\\s+', ' ', 'g'))"""
     out["html_to_text"] = f"select page_id, {plain} as text from pages"
     out["alternate_document"] = f"""
       with docs as (select page_id // 5 as accession, page_id % 5 as doc_no, url, {plain} as text
@@ -351,8 +360,8 @@ def build() -> dict[str, str]:
     out["lexicon_ratios"] = ctes(DOC_TEXT) + f"""
       select doc_id, {", ".join(TONE_PROXY)} from doc_features"""
     out["lexicon_table_ratios"] = ctes(DOC_TEXT) + " union all ".join(
-        f"""select doc_id, '{name}' as category, {name} as ratio from doc_features
-            where {name} > 0""" for name in TONE_PROXY)
+        f"""select doc_id, '{name}' as category, {name} as ratio from doc_features"""
+        for name in TONE_PROXY)
     out["text_chunks"] = ctes(DOC_TEXT) + """
       select doc_id, cast(chunk_no as int) as chunk_no, cast(len(chunk) as int) as n_tokens,
              array_to_string(chunk, ' ') as chunk from chunks"""
