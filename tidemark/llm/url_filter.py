@@ -115,12 +115,10 @@ def path_templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
                                                      F.sum("good").alias("good"))
     hosts = templates.groupBy("host").agg(F.sum("labels").alias("host_labels"),
                                           F.sum("good").alias("host_good"))
-    whole = hosts.agg(F.sum("host_labels").alias("whole_labels"),
-                      F.sum("host_good").alias("whole_good"))
-    prior = (F.col("whole_good") + 1.0) / (F.col("whole_labels") + 2.0)
+    prior = hosts.agg((F.sum("host_good") + 1.0) / (F.sum("host_labels") + 2.0)).scalar()
     host = (F.col("host_good") + STRENGTH * prior) / (F.col("host_labels") + F.lit(STRENGTH))
     purity = (F.col("good") + STRENGTH * host) / (F.col("labels") + F.lit(STRENGTH))
-    judged = templates.join(hosts, "host").join(F.broadcast(whole)).select(
+    judged = templates.join(hosts, "host").select(
         "host", "prefix", F.col("labels").alias("template_labels"), purity.alias("purity"))
     return shapes.select("host", "shape", "prefix").join(judged, ["host", "prefix"])
 
