@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import settings
 from tidemark.functions.text import word_count
 from tidemark.operators.windows import rows_around
+from tidemark.runtime import materialize
 
 EVENT = list(settings.META_COLUMNS)
 
@@ -31,7 +33,9 @@ def valid_dates(filings: DataFrame, date: str = "filing_date") -> DataFrame:
 
 
 def newest_first(filings: DataFrame) -> DataFrame:
-    return filings.orderBy("cik", F.col("filing_date").desc(), "ord")
+    """Each filer's filings from the newest on, equal dates in listed order, with their position."""
+    order = W.partitionBy("cik").orderBy(F.col("filing_date").desc(), "ord")
+    return filings.withColumn("position", F.row_number().over(order)).orderBy("cik", "position")
 
 
 def filings_near(events: DataFrame, filings: DataFrame, window_days: int,
@@ -50,12 +54,14 @@ def filings_with_fallback(events: DataFrame, filings: DataFrame,
                           window_days: int = settings.FILING_WINDOW_DAYS,
                           fallback_days: int = settings.FILING_FALLBACK_DAYS,
                           causal: bool = False, salts: int = 1) -> DataFrame:
-    """Filings in the narrow window, or in the wide one for events that have none in the narrow."""
+    """Filings in the narrow window, or in the wide one for events that have none in the narrow.
+
+    One interval join; the window over an event holds the filings around it.
+    """
     wide = filings_near(events, filings, fallback_days, causal, salts)
-    near_counts = wide.groupBy(*EVENT).agg(
-        F.count_if(F.col("gap_days") <= window_days).alias("_n_near"))
+    near = F.count_if(F.col("gap_days") <= window_days).over(W.partitionBy(*EVENT))
     return (
-        wide.join(near_counts, EVENT)
+        wide.withColumn("_n_near", near)
         .where((F.col("gap_days") <= window_days) | (F.col("_n_near") == 0))
         .drop("_n_near")
     )
@@ -107,8 +113,8 @@ def primary_or_alternate(documents: DataFrame, key: str = "accession",
     )
     order = F.when(choice.isNotNull(), F.struct(choice, F.col("doc_no")))
     best = documents.groupBy(key).agg(
-        F.min_by(F.struct("doc_no", "text"), order).alias("_best"),
-        F.bool_or(primary).alias("_has_primary"),
-    )
-    return (best.where(F.col("_has_primary") & F.col("_best").isNotNull())
-            .select(key, "_best.*"))
+        F.min_by("doc_no", order).alias("doc_no"), F.bool_or(primary).alias("_has_primary"))
+    # Chosen on narrow rows and stored, so that their measured size decides how texts are fetched.
+    chosen = materialize(best.where(F.col("_has_primary") & F.col("doc_no").isNotNull())
+                         .select(key, "doc_no"), "chosen-documents")
+    return documents.join(chosen, [key, "doc_no"]).select(key, "doc_no", "text")

@@ -26,7 +26,11 @@ def rows_around(events: DataFrame, rows: DataFrame, before: int, after: int,
         return F.floor(F.unix_date(date) / F.lit(width)).cast("int")
 
     spread = events.withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last))))
-    placed = rows.withColumn("_bucket", bucket(F.col(day)))
+    # The outermost dates, as scalars that the scan of the rows gets as plain bounds.
+    spans = events.agg(F.min(first).alias("first"), F.max(last).alias("last"))
+    placed = rows.where((F.col(day) >= spans.select("first").scalar())
+                        & (F.col(day) <= spans.select("last").scalar()))
+    placed = placed.withColumn("_bucket", bucket(F.col(day)))
     on = [entity, "_bucket"]
     if salts > 1:
         on.append("_salt")

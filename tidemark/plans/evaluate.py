@@ -8,7 +8,8 @@ from tidemark.operators import curves, metrics
 
 
 def evaluate_all(predictions: DataFrame) -> dict[str, DataFrame]:
-    """Every evaluation table by name, each lazily planned over the same predictions.
+    """Every evaluation table by name, each planned over the same predictions; ranks and curves
+    store their sorted slices when planned.
 
     Pass a stored table (:func:`tidemark.plans.train.score_all` returns one): each metric then
     scans only the columns it needs and no model is run again.
@@ -29,8 +30,3 @@ def evaluate_all(predictions: DataFrame) -> dict[str, DataFrame]:
         "extents": metrics.prediction_extents(predictions),
         "return_curves": curves.return_curves(predictions),
     }
-
-
-def write_all(tables: dict[str, DataFrame], path: str) -> None:
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")

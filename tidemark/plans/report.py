@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _RULE = "=" * 72
 
 
-def report_lines(tables: dict[str, DataFrame], title: str = "EVALUATION SUMMARY") -> DataFrame:
+def report_lines(tables: dict[str, DataFrame], title: str = "Results of the evaluation") -> DataFrame:
     """The report as rows ``section, model, block, line_no, line``; sorted, they read top to bottom.
 
     Lines are formatted where the rows are, so a report over very many entities stays distributed.
@@ -28,59 +28,62 @@ def report_lines(tables: dict[str, DataFrame], title: str = "EVALUATION SUMMARY"
     fmt = F.format_string
     cls, cm, reg = tables["class_metrics"], tables["confusion"], tables["regression_metrics"]
     spark = cls.sparkSession
+    none = tables["direction_leaderboard"].isEmpty() and tables["magnitude_leaderboard"].isEmpty()
     number = [F.coalesce(c, F.lit(float("nan"))) for c in ("mae", "rmse", "r2", "ic", "ic_pval")]
     parts = [
-        each(cls, 0, fmt("--- %s (Direction / Classification) ---", "model"),
-             fmt("  Accuracy  : %.4f", "accuracy"), fmt("  Precision : %.4f", "precision"),
-             fmt("  Recall    : %.4f", "recall"), fmt("  F1 Score  : %.4f", "f1")),
-        each(cm, 1, F.lit("  Confusion Matrix:"), fmt("    [[%d %d]", "tn", "fp"),
-             fmt("     [%d %d]]", "fn", "tp")),
-        each(cls.select("model"), 2, F.lit("  Classification Report:"), F.lit(
-            "              precision    recall  f1-score   support")),
+        each(cls, 0, fmt("[%s] direction", "model"),
+             fmt("  share right        %.4f", "accuracy"), fmt("  precision (up)     %.4f", "precision"),
+             fmt("  recall (up)        %.4f", "recall"), fmt("  f1 (up)            %.4f", "f1")),
+        each(cm, 1, F.lit("  counts, actual by predicted:"), fmt("    down %d %d", "tn", "fp"),
+             fmt("    up   %d %d", "fn", "tp")),
+        each(cls.select("model"), 2, F.lit("  by class:"), F.lit(
+            "       class  precision    recall        f1      rows")),
         lines(tables["class_report"], 1, 3,
               fmt("%12s  %9.2f %9.2f %9.2f %9d", "section", "precision", "recall", "f1",
                   "support"), F.col("section")),
-        each(reg, 0, fmt("--- %s (Magnitude / Regression) ---", "model"),
-             fmt("  MAE       : %.6f", number[0]), fmt("  RMSE      : %.6f", number[1]),
-             fmt("  R²        : %.4f", number[2]),
-             fmt("  IC (Spearman) : %.4f  (p=%.4f)", number[3], number[4])),
+        each(reg, 0, fmt("[%s] magnitude", "model"),
+             fmt("  mean abs. error    %.6f", number[0]), fmt("  root mean square   %.6f", number[1]),
+             fmt("  explained (r2)     %.4f", number[2]),
+             fmt("  rank correlation   %.4f, p-value %.4f", number[3], number[4])),
         each(cls.select("model").unionByName(reg.select("model")), 4,
-             F.lit("  Per-ticker breakdown:")),
+             F.lit("  by entity:")),
         lines(tables["accuracy_by_entity"], 1, 5,
-              fmt("    %-6s: n=%3d  accuracy=%.3f", "ticker", "n", "accuracy"), F.col("ticker")),
+              fmt("    %-8s %4d rows, %.3f right", "ticker", "n", "accuracy"), F.col("ticker")),
         lines(tables["mae_by_entity"], 1, 5,
-              fmt("    %-6s: n=%3d  MAE=%.6f", "ticker", "n", "mae"), F.col("ticker")),
+              fmt("    %-8s %4d rows, mean abs. error %.6f", "ticker", "n", "mae"), F.col("ticker")),
         each(cls.select("model").unionByName(reg.select("model")), 6,
-             F.lit("  Failure analysis (worst predictions):")),
+             F.lit("  furthest off:")),
         lines(tables["worst_directions"], 1, 7,
-              fmt("    %s %s  actual_ret=%+.4f  predicted_dir=%d", "ticker",
+              fmt("    %s on %s: %+.4f, predicted class %d", "ticker",
                   F.col("event_date").cast("string"), "actual", "predicted_label"),
               fmt("%06d", "rank")),
         lines(tables["worst_magnitudes"], 1, 7,
-              fmt("    %s %s  actual=%+.6f  predicted=%+.6f  error=%+.6f", "ticker",
+              fmt("    %s on %s: %+.6f, predicted %+.6f, off by %+.6f", "ticker",
                   F.col("event_date").cast("string"), "actual", "predicted", "error"),
               fmt("%06d", "rank")),
         lines(tables["direction_leaderboard"], 3, 0,
               fmt("  %-40s %7.4f %7.4f %7.4f %7.4f%s", "model", "accuracy", "precision", "recall",
-                  "f1", F.when(F.col("is_best"), " ★").otherwise("")),
+                  "f1", F.when(F.col("is_best"), "  best").otherwise("")),
               fmt("%020.12f", 1 - F.col("f1")), F.lit("")),
         lines(tables["magnitude_leaderboard"], 5, 0,
               fmt("  %-40s %10.6f %10.6f %7.4f %7.4f%s", "model", number[0], number[1], number[2],
-                  number[3], F.when(F.col("is_best"), " ★").otherwise("")),
+                  number[3], F.when(F.col("is_best"), "  best").otherwise("")),
               fmt("%020.12f", "mae"), F.lit("")),
         lines(tables["direction_leaderboard"], 6, 0,
-              fmt("- %s: accuracy = %.1f%%%s", "model", 100 * F.col("accuracy"),
-                  F.when(F.col("above_random"), " (above random baseline)")
-                  .otherwise(" (at or below random baseline)")), F.col("model"), F.lit("")),
+              fmt("%s: %.1f%% right%s", "model", 100 * F.col("accuracy"),
+                  F.when(F.col("above_random"), ", better than a coin")
+                  .otherwise(", no better than a coin")), F.col("model"), F.lit("")),
     ]
     fixed = [
         (0, "", 0, "0", _RULE), (0, "", 0, "1", title), (0, "", 0, "2", _RULE),
-        (2, "", 0, "0", _RULE), (2, "", 0, "1", "MODEL COMPARISON"), (2, "", 0, "2", _RULE),
-        (2, "", 0, "3", "Direction models (classification):"),
-        (2, "", 0, "4", "  %-40s %7s %7s %7s %7s" % ("Model", "Acc", "Prec", "Rec", "F1")),
-        (4, "", 0, "0", "Magnitude models (regression):"),
-        (4, "", 0, "1", "  %-40s %10s %10s %7s %7s" % ("Model", "MAE", "RMSE", "R²", "IC")),
+        (2, "", 0, "0", _RULE), (2, "", 0, "1", "All models"), (2, "", 0, "2", _RULE),
+        (2, "", 0, "3", "Direction, best f1 first"),
+        (2, "", 0, "4", "  %-40s %7s %7s %7s %7s" % ("model", "right", "prec", "recall", "f1")),
+        (4, "", 0, "0", "Magnitude, smallest error first"),
+        (4, "", 0, "1", "  %-40s %10s %10s %7s %7s" % ("model", "mae", "rmse", "r2", "ic")),
     ]
+    if none:
+        fixed.append((7, "", 0, "0", "There is nothing to compare: no model was scored."))
     parts.append(spark.createDataFrame(
         fixed, "section int, model string, block int, line_no string, line string"))
     return reduce(DataFrame.unionByName, parts).orderBy("section", "model", "block", "line_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -35,14 +37,18 @@ def build_session(app_name: str = "tidemark", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may go without that setting; it then gets a folder of its own.
+    Only a local-mode session may go without that setting; it then gets a folder of its own, which
+    is removed when the process ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+        root = _own_folder.get(context.applicationId)
+        if root is None:
+            root = _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/tidemark/{context.applicationId}"
 
 

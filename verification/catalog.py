@@ -12,6 +12,7 @@ from tidemark.functions.lexicon import lexicon_table
 from tidemark.functions.text import html_to_text, word_count
 from tidemark.operators import curves, documents, fusion, knn, metrics, prices, split, textual
 from tidemark.plans import collect, features
+from tidemark.plans import train as training
 from tidemark.runtime import materialize, shared_folder, ship_by_value
 from tidemark.sources import filings as filing_source
 from tidemark.sources import market, registry, store
@@ -70,7 +71,8 @@ def document_addresses(v: Views) -> DataFrame:
 
 @query
 def filing_explode(v: Views) -> DataFrame:
-    return filing_source.explode_blocks(v.filing_blocks(v.filings), ("cik", "block_no"))
+    return filing_source.explode_blocks(v.filing_blocks(v.filings, shortened=True),
+                                        ("cik", "block_no"))
 
 
 @query
@@ -82,6 +84,11 @@ def filing_history(v: Views) -> DataFrame:
     return rows.drop("block_no", "pos")
 
 
+@query
+def newest_first(v: Views) -> DataFrame:
+    return documents.newest_first(v.filings).select("cik", "accession", "position")
+
+
 @query
 def form_filter(v: Views) -> DataFrame:
     lower = v.filings.select("ticker", "accession", F.lower("form").alias("form"))
@@ -293,10 +300,20 @@ def _collect(v: Views) -> tuple[str, DataFrame]:
 @query
 def raw_store(v: Views) -> DataFrame:
     root, _ = _collect(v)
-    return v.spark.read.parquet(f"{root}/bars").select(
+    return collect.stored_parts(v.spark, root)[1].select(
         *KEY, "date", "open", "high", "low", "close", "volume")
 
 
+@query
+def forced_events(v: Views) -> DataFrame:
+    """All events stored, then some of them again from bars with other volumes."""
+    root, _ = _collect(v)
+    changed = v.bars.withColumn("volume", F.col("volume") + 1)
+    some = v.events.where(F.dayofmonth("event_date") % 3 == 0)
+    collect.collect_events(v.spark, some, v.filings, changed, root, force=True)
+    return collect.stored_parts(v.spark, root)[1].select(*KEY, "date", "close", "volume")
+
+
 @query
 def manifest(v: Views) -> DataFrame:
     return _collect(v)[1]
@@ -305,8 +322,7 @@ def manifest(v: Views) -> DataFrame:
 @query
 def manifest_scan(v: Views) -> DataFrame:
     root, _ = _collect(v)
-    return store.scan_manifest(v.spark.read.parquet(f"{root}/texts"),
-                               v.spark.read.parquet(f"{root}/bars"))
+    return store.scan_manifest(*collect.stored_parts(v.spark, root))
 
 
 @query
@@ -318,8 +334,7 @@ def coverage(v: Views) -> DataFrame:
 def matrix_from_store(v: Views) -> DataFrame:
     root, events = _collect(v)
     return tidy(features.matrix_from_store(
-        events, v.spark.read.parquet(f"{root}/texts"), v.spark.read.parquet(f"{root}/bars"),
-        v.scorer))
+        events, *collect.stored_parts(v.spark, root), v.scorer))
 
 
 @query
@@ -370,6 +385,27 @@ def direction_labels(v: Views) -> DataFrame:
                                 for h in settings.TARGET_HORIZONS])
 
 
+def _observed(v: Views) -> DataFrame:
+    """Training rows whose target was observed, by horizon."""
+    matrix = features.feature_matrix(v.raw_matrix, impute_targets=False)
+    rows, _ = split.chronological_split(matrix)
+    parts = [training.training_rows(rows, h, "direction").select(
+        *KEY, F.lit(h).alias("horizon"), "label") for h in settings.TARGET_HORIZONS]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def null_targets(v: Views) -> DataFrame:
+    return _observed(v)
+
+
+@query
+def training_sizes(v: Views) -> DataFrame:
+    """Training rows of each horizon and whether they are enough to fit anything."""
+    return _observed(v).groupBy("horizon").agg(F.count("*").alias("n")).withColumn(
+        "enough", F.col("n") >= settings.MIN_TRAIN_ROWS)
+
+
 @query
 def class_weights(v: Views) -> DataFrame:
     train, _ = v.split()

@@ -1,5 +1,5 @@
-"""Queries over fitted models.  Their results depend on the solver, so they have no SQL; the
-estimators are tested against closed forms in the test suite."""
+"""Queries over fitted models, at the default settings.  Predictions depend on the solver, so most
+have no SQL; the estimators are tested against closed forms in the test suite."""
 
 from __future__ import annotations
 
@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curves, models
 from tidemark.plans import evaluate, report, train
+from verification.oracles import PERSISTED
 from verification.views import Views
 
-# Fewer trees and rounds than the defaults keep a check quick; the rows are all there.
-QUICK = models.ModelSettings(trees=20, rounds=5, fourier_features=128)
-
-
 def _fitted(v: Views, direction, magnitude, horizons=(1, 3)):
-    return train.train_all(v.imputed, horizons, direction, magnitude, params=QUICK)
+    return train.train_all(v.imputed, horizons, direction, magnitude)
 
 
 def train_grid(v: Views) -> DataFrame:
@@ -27,7 +24,7 @@ def train_grid(v: Views) -> DataFrame:
 
 def optional_models(v: Views) -> DataFrame:
     """Predictions of the models that are off by default."""
-    trained, test = _fitted(v, ("svm", "knn"), ("lasso", "svr", "knn"), horizons=(1,))
+    trained, test = _fitted(v, ("svm", "knn"), ("lasso", "svr", "knn"))
     return train.score_all(trained, test)
 
 
@@ -36,8 +33,8 @@ def model_persistence(v: Views) -> DataFrame:
     per model)."""
     from verification.catalog import unique_path
     path = unique_path(v.spark, "models")
-    trained, test = train.train_all(v.imputed, (1,), ("logistic", "svm", "knn"), ("ridge",),
-                                    params=QUICK, output=path)
+    trained, test = train.train_all(v.imputed, (1,), PERSISTED["direction"],
+                                    PERSISTED["magnitude"], output=path)
     before = train.score_all(trained, test)
     after = train.score_all(train.load_all(v.spark, path), test)
     key = ["model", "ticker", "event_date"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from tidemark.functions.text import ENTITIES
 from verification.views import AS_OF, POLARITY_PROXY, TONE_PROXY
 
+PERSISTED = {"direction": ("logistic", "random_forest", "gradient_boosting", "svm", "knn"),
+             "magnitude": ("ridge", "lasso", "random_forest", "gradient_boosting", "svr", "knn")}
 TEXT_COLUMNS = ("sentiment_score", "positive_prob", "negative_prob", "neutral_prob",
                 "uncertainty_ratio", "hedging_ratio", "forward_guidance_strength",
                 "litigious_ratio")
@@ -276,7 +278,7 @@ SPLIT = (*FULL, split_cte(0.7))
 PREDICTED = (*SPLIT, PREDICTIONS)
 
 
-def _blocks(source: str, condition: str, form: str) -> str:
+def _blocks(source: str, condition: str, form: str, whole: str = "true") -> str:
     return f"""
     select {source} as source_no, cik, block_no, rn - 1 as pos, accession, {form} as form,
            filing_date, primary_document from (
@@ -285,7 +287,7 @@ def _blocks(source: str, condition: str, form: str) -> str:
              row_number() over (partition by cik, ord // 2000 order by ord) as rn,
              count(*) over (partition by cik, ord // 2000) as c
       from filings where {condition})
-    where rn < c"""
+    where rn < c or {whole}"""
 
 
 def build() -> dict[str, str]:
@@ -307,7 +309,7 @@ def build() -> dict[str, str]:
         as address from filings"""
     out["filing_explode"] = ctes(FILINGS) + f"""
       select cik, block_no, cast(pos as int) as pos, accession, form, filing_date, primary_document
-      from ({_blocks('0', 'true', 'form')})"""
+      from ({_blocks('0', 'true', 'form', 'block_no % 2 = 1')})"""
     out["filing_history"] = ctes(FILINGS) + f"""
       select cik, accession, form, filing_date, primary_document, cast(source_no as int) as source_no
       from (select *, row_number() over (partition by cik, accession
@@ -433,6 +435,21 @@ def build() -> dict[str, str]:
       select {key} from ev where not exists (
         select 1 from picks p where p.ticker = ev.ticker and p.event_date = ev.event_date)"""
     out["raw_store"] = out["event_window"]
+    out["forced_events"] = f"""select {key}, date, close,
+      volume + (day(event_date) % 3 = 0)::int as volume from ({out["event_window"]})"""
+    out["newest_first"] = ctes(FILINGS) + """
+      select cik, accession, cast(row_number() over (partition by cik order by filing_date desc, ord)
+             as int) as position from filings"""
+    observed = split + " select ticker, event_date, horizon, label from (" + " union all ".join(
+        f"""select p.ticker, p.event_date, {h} as horizon, (raw.ret_{h}d >= 0)::int::double as label
+            from parts p join raw on raw.ticker = p.ticker and raw.event_date = p.event_date
+            where is_train and raw.ret_{h}d is not null""" for h in (1, 3)) + ")"
+    out["null_targets"] = observed
+    out["training_sizes"] = f"""select horizon, count(*) as n, count(*) >= 5 as enough
+      from ({observed}) group by horizon"""
+    out["model_persistence"] = split + " union all ".join(
+        f"select '{kind}_1d_{model}' as model, count(*) as n, 0::bigint as n_changed from parts "
+        "where not is_train" for kind, models in PERSISTED.items() for model in models)
 
     # split, scaling, neighbours
     for name, ratio in (("chrono_split", 0.7), ("chrono_split_straddling", 0.613)):

@@ -90,9 +90,10 @@ class Views:
     def scored_filings(self) -> DataFrame:
         return self.scorer.in_place(self.filings.select("accession", "text"))
 
-    def filing_blocks(self, filings: DataFrame) -> DataFrame:
-        """Index blocks of parallel arrays, at most 100 filings each; the array of document names
-        lacks its last entry, so that the shortest array decides."""
+    def filing_blocks(self, filings: DataFrame, shortened: bool = False) -> DataFrame:
+        """Index blocks of parallel arrays, at most 100 filings each.  With ``shortened``, the array
+        of document names lacks its last entry in every other block, so that the shortest array
+        decides."""
         rows = F.array_sort(F.collect_list(F.struct(
             "ord", "form", F.date_format("filing_date", "yyyy-MM-dd").alias("filingDate"),
             F.col("accession").alias("accessionNumber"),
@@ -102,7 +103,8 @@ class Views:
         return grouped.select(
             "cik", "block_no", *[F.col(f"rows.{c}").alias(c)
                                  for c in ("form", "filingDate", "accessionNumber")],
-            F.slice("rows.primaryDocument", F.lit(1), F.size("rows") - 1)
+            F.slice("rows.primaryDocument", F.lit(1), F.size("rows") - F.when(
+                F.lit(shortened) & (F.col("block_no") % 2 == 0), 1).otherwise(0))
             .alias("primaryDocument"))
 
     @cached_property
