@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+from conftest import SMALL
+from odd_rows import none, odd  # noqa: F401
 
 from tidemark.llm import decontaminate, line_dedup, quality, secret_scan, stages, url_filter
 
@@ -208,8 +210,6 @@ def test_weak_parts_need_their_complements(spark, odd, none):
 @pytest.mark.parametrize("stage", [stages.quality, stages.lines, stages.near_duplicates,
                                    stages.decontaminate])
 def test_stages_return_the_columns_they_get(spark, odd, none, stage):
-    from conftest import SMALL
-
     out = stage(spark, odd, SMALL)
     assert out.columns == odd.columns
     rows = out.collect()

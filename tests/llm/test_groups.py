@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SMALL
+from odd_rows import none, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, sharding, simhash
