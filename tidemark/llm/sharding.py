@@ -1,8 +1,9 @@
 """Operator 2: shards by balanced label propagation.
 
 Documents with equal texts are linked.  All rows start in shards of equal size.  In each round every
-linked document learns, by joins, which shards hold most of its group, and asks to move there; a
-group larger than a shard has as many target shards as it fills.  Quotas keep the law: a shard takes
+linked document learns, by joins, which shard holds most of its group, and asks to move there; a
+group larger than a shard has as many target shards as it fills, and smaller groups leave those to
+it.  Quotas keep the law: a shard takes
 exactly as many rows as it gives, first in exchange for rows that want to go the other way, then
 for rows without links, which may lie anywhere.  So counts stay at most one apart after every
 round while links between shards, the cut edges, vanish.  Rounds end when nothing can move.
@@ -62,21 +63,64 @@ def quotas(wants: dict[tuple[int, int], int],
     return out
 
 
-def _wishes(state: DataFrame, capacity: int) -> DataFrame:
-    """The rows with their ``lane``: the shard they want, or ``FREE`` or ``STAYS``."""
-    linked = state.where("linked")
-    pieces = linked.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
-    by_size = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard")))
-    targets = pieces.groupBy("g1", "g2").agg(by_size.alias("held"), F.sum("n").alias("size"))
-    fills = F.ceil(F.col("size") / F.lit(capacity)).cast("int")
-    targets = targets.where(F.size("held") > fills).select(
-        "g1", "g2", F.transform(F.slice("held", F.lit(1), fills), lambda x: x["shard"])
-        .alias("targets"))
+Group = tuple[int, int]
+
+
+def _large_groups(state: DataFrame, capacity: int) -> dict[Group, dict[int, int]]:
+    """Rows by shard of each group that fills a shard or more.
+
+    There are at most as many such groups as shards, so at most shards x shards counts come here.
+    """
+    pieces = state.where("linked").groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
+    large = pieces.groupBy("g1", "g2").agg(F.sum("n").alias("size")).where(
+        F.col("size") >= capacity)
+    counts: dict[Group, dict[int, int]] = {}
+    for r in pieces.join(large, ["g1", "g2"]).collect():
+        counts.setdefault((r["g1"], r["g2"]), {})[r["shard"]] = r["n"]
+    return counts
+
+
+def claims(counts: dict[Group, dict[int, int]], shards: int, capacity: int
+           ) -> dict[Group, list[int]]:
+    """The target shards of each large group: those that hold most of it and no other one fills."""
+    out, full = {}, set()
+    for group, held in sorted(counts.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        size = sum(held.values())
+        order = sorted(set(range(shards)) - full, key=lambda s: (-held.get(s, 0), s))
+        out[group] = order[:-(-size // capacity)]
+        full.update(order[:size // capacity])
+    return out
+
+
+def _wishes(state: DataFrame, claimed: dict[Group, list[int]],
+            counts: dict[Group, dict[int, int]], capacity: int, shards: int) -> DataFrame:
+    """The rows with their ``lane``: the shard they want, or ``FREE`` or ``STAYS``.
+
+    A group wants the shard that holds most of it, among those that no large group fills; a large
+    group's rows want those of its shards that have room for more of it.
+    """
+    spark = state.sparkSession
+    taken = sorted({s for targets in claimed.values() for s in targets})
+    rest = sorted(set(range(shards)) - set(taken)) or list(range(shards))
+    allowed = F.array(*map(F.lit, rest))
+    pieces = state.where("linked").groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
+    best = F.max_by("shard", F.when(F.array_contains(allowed, F.col("shard")),
+                                    F.struct("n", -F.col("shard"))))
+    own = F.element_at(allowed, F.pmod(F.xxhash64("g1", "g2"), F.lit(len(rest))).cast("int") + 1)
+    targets = pieces.groupBy("g1", "g2").agg(best.alias("best"))
+    targets = targets.select("g1", "g2", F.array(F.coalesce("best", own)).alias("usual"))
+    room = {g: [s for s in t if counts[g].get(s, 0) < capacity] for g, t in claimed.items()}
+    large = spark.createDataFrame([(*g, t, room[g]) for g, t in claimed.items()],
+                                  "g1 long, g2 long, claimed array<int>, room array<int>")
+    # At most one row a shard.
+    targets = targets.join(F.broadcast(large), ["g1", "g2"], "left").select(
+        "g1", "g2", F.coalesce("claimed", "usual").alias("targets"),
+        F.coalesce("room", "usual").alias("room"))
     joined = state.join(targets, ["g1", "g2"], "left")
-    pick = F.pmod(F.xxhash64("row_id", F.lit(1)), F.size("targets")).cast("int")
+    pick = F.try_mod(F.xxhash64("row_id", F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1)), F.size("room"))
     lane = (F.when(~F.col("linked"), FREE)
-            .when(F.col("targets").isNull() | F.array_contains("targets", F.col("shard")), STAYS)
-            .otherwise(F.get("targets", pick)))
+            .when(F.array_contains("targets", F.col("shard")) | (F.size("room") == 0), STAYS)
+            .otherwise(F.get("room", pick.cast("int"))))
     return joined.select(*state.columns, lane.cast("int").alias("lane"))
 
 
@@ -84,24 +128,28 @@ def propagate(state: DataFrame, shards: int, rounds: int, buckets: int, rows: in
     """Rounds of moves over (row_id, g1, g2, linked, shard), each stored."""
     spark = state.sparkSession
     capacity = max(1, rows // shards)
+    counts = _large_groups(state, capacity)
+    claimed = claims(counts, shards, capacity)
     for _ in range(rounds):
-        wishes = materialize(_wishes(state, capacity), "wishes")
-        counts = wishes.where(F.col("lane") != STAYS).groupBy("shard", "lane").count().collect()
-        moves = quotas({(r["shard"], r["lane"]): r["count"] for r in counts if r["lane"] != FREE},
-                       {r["shard"]: r["count"] for r in counts if r["lane"] == FREE})
+        wishes = materialize(_wishes(state, claimed, counts, capacity, shards), "wishes")
+        lanes = wishes.where(F.col("lane") != STAYS).groupBy("shard", "lane").count().collect()
+        moves = quotas({(r["shard"], r["lane"]): r["count"] for r in lanes if r["lane"] != FREE},
+                       {r["shard"]: r["count"] for r in lanes if r["lane"] == FREE})
         if not moves:
             break
         table = spark.createDataFrame(moves, "shard int, lane int, first long, end long, to int")
-        lanes = numbered(wishes.where(F.col("lane") != STAYS), ["shard", "lane"], buckets, "number")
+        asked = numbered(wishes.where(F.col("lane") != STAYS), ["shard", "lane"], buckets, "number")
         # At most shards x shards rows, whatever the number of documents.
-        moved = lanes.join(F.broadcast(table), (lanes["shard"] == table["shard"])
-                           & (lanes["lane"] == table["lane"])
-                           & (lanes["number"] >= table["first"])
-                           & (lanes["number"] < table["end"]), "left")
+        moved = asked.join(F.broadcast(table), (asked["shard"] == table["shard"])
+                           & (asked["lane"] == table["lane"])
+                           & (asked["number"] >= table["first"])
+                           & (asked["number"] < table["end"]), "left")
         moved = moved.select("row_id", "g1", "g2", "linked",
-                             F.coalesce(table["to"], lanes["shard"]).alias("shard"))
+                             F.coalesce(table["to"], asked["shard"]).alias("shard"))
         stay = wishes.where(F.col("lane") == STAYS).select(*moved.columns)
         state = materialize(moved.unionByName(stay), "shards")
+        if claimed:
+            counts = _large_groups(state, capacity)
     return state
 
 
