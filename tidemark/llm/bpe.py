@@ -20,7 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PieceCache, map_texts, read_table, worker_store
+from tidemark.llm.common import (
+    PieceCache,
+    map_texts,
+    read_table,
+    text_slices,
+    worker_store,
+)
 from tidemark.llm.pretokens import pieces_of, split_texts
 from tidemark.runtime import ship_by_value
 
@@ -166,21 +172,27 @@ class Vocabulary:
         return self.buffer[source].tobytes()
 
 
-def _tools(path: str) -> tuple[PieceCache, Vocabulary]:
+def _merged(path: str) -> PieceCache:
     store = worker_store()
     if ("bpe", path) not in store:
-        ranks = read_ranks(path)
-        store["bpe", path] = PieceCache(Merger(ranks).ids), Vocabulary(ranks)
+        store["bpe", path] = PieceCache(Merger(read_ranks(path)).ids)
     return store["bpe", path]
 
 
+def _vocabulary(path: str) -> Vocabulary:
+    store = worker_store()
+    if ("vocabulary", path) not in store:
+        store["vocabulary", path] = Vocabulary(read_ranks(path))
+    return store["vocabulary", path]
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` and ``offsets``; ``path`` names the rank file on the executors."""
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
-        cache, vocabulary = _tools(path)
+        vocabulary = _vocabulary(path)
         joined, bounds, firsts = split_texts(texts)
-        coded = cache.of(pieces_of(joined, bounds))
+        coded = _merged(path).of(pieces_of(joined, bounds))
         edges = firsts.tolist()
         ids = [b"".join(coded[a:b]) for a, b in zip(edges, edges[1:])]
         offsets = [vocabulary.starts(np.frombuffer(x, np.uint32)).astype(np.uint32).tobytes()
@@ -197,14 +209,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = list(out.names)
 
     def run(batches):
-        for batch in batches:
-            _, vocabulary = _tools(path)
+        vocabulary = _vocabulary(path)
+        for part in (p for batch in batches for p in text_slices(batch, "ids")):
             decoded = []
-            for ids, starts in zip(batch.column("ids"), batch.column("offsets")):
+            for ids, starts in zip(part.column("ids"), part.column("offsets")):
                 decoded.append(vocabulary.join(np.frombuffer(ids.as_py() or b"", np.uint32),
                                                np.frombuffer(starts.as_py() or b"", np.uint32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names[:-1]] + [pa.array(decoded, pa.binary())],
+                [part.column(c) for c in names[:-1]] + [pa.array(decoded, pa.binary())],
                 names=names)
 
     return encoded.select(*[F.col(f"`{c}`") for c in schema.names]).mapInArrow(run, out)
