@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate as leaks, line_dedup, simhash
+from tidemark.llm import bpe, decontaminate as leaks, line_dedup, shared_words
 from tidemark.llm import quality as rules
 from tidemark.llm.common import brought_back, read_table, set_aside
 from tidemark.runtime import materialize
@@ -36,14 +36,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the smallest id, the first stored row among equal ids."""
+    """One document of each class: the smallest id, the first stored row among equal ids.
+
+    Texts are near duplicates by their fingerprints (at most 4 bits, as in operator 9) or by 0.8 of
+    their five-word shingles.
+    """
     rows, names = set_aside(docs)
-    stored = simhash.with_fingerprint(rows, names["text"]).withColumn(
+    stored = shared_words.with_bands(rows, names["text"]).withColumn(
         "row_id", F.monotonically_increasing_id())
     stored = materialize(stored, "fingerprinted")
     key = F.col(f"`{names['doc_id']}`")
     order = F.struct(key.isNull().alias("unnamed"), key.alias("key"), "row_id")
-    classes = simhash.near_duplicates(stored.select("fingerprint_bits", key, "row_id"), order)
+    classes = shared_words.near_duplicates(stored, names["text"], order)
     keepers = classes.select(F.col("component.row_id")).distinct()
     return brought_back(stored.join(keepers, "row_id", "left_semi"), names)
 
