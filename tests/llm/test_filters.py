@@ -45,6 +45,17 @@ def test_bad_templates_are_rejected_and_siblings_merge(spark):
     assert any("spam" in t or v == "allow" for t, v in verdicts.items())
 
 
+def test_a_bad_section_among_sixty_is_rejected(spark):
+    urls = [f"http://h.org/sec{chr(97 + i // 26)}{chr(97 + i % 26)}/{k}" for i in range(60)
+            for k in range(40)]
+    good = [i // 40 != 7 for i in range(len(urls))]
+    r = judged(spark, urls, zip(urls, good))
+    assert [r[i].verdict == "allow" for i in r] == [good[i] for i in r]
+    assert len({r[i].template for i in r}) == 2
+    r = judged(spark, urls, [(u, g) for k, (u, g) in enumerate(zip(urls, good)) if k % 40 < 2])
+    assert {r[i].verdict for i in r} == {"allow"}          # two labels a section tell too little
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}
 

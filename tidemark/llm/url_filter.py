@@ -4,8 +4,8 @@ Rules come first: the longest rule whose host is the URL's host or a parent doma
 path the URL's path starts with, decides.  Other URLs are judged by the template of their path:
 
 1. digits in segments are generalised, and equal shapes of a host are counted once from there on;
-2. level by level, children of a tree node that have few of its URLs become a wildcard, and so do
-   siblings whose labelled purity does not differ significantly from that of their siblings;
+2. level by level, children of a tree node whose labelled purity does not differ significantly from
+   that of their siblings become a wildcard, and so do those with few of its URLs and few labels;
 3. a template whose purity, smoothed towards its host's and that towards the whole, is too low and
    rests on enough labels is rejected.
 
@@ -28,7 +28,7 @@ from tidemark.llm.common import read_table
 from tidemark.runtime import materialize
 
 LEVELS = 4
-RARE_PERCENT = 2               # of its parent's URLs; a child with less is variable
+RARE_PERCENT = 2               # of its parent's URLs; a child with less needs LEAST_LABELS
 CRITICAL = 3.84                # of z squared: 95 per cent
 STRENGTH = 10                  # labels that a prior counts for
 LEAST_LABELS = 5
@@ -93,9 +93,9 @@ def _level(shapes: DataFrame, level: int) -> DataFrame:
     r = (F.col("all_good") + 1.0) / (F.col("all_labels") + 2.0)
     spread = r * (1.0 - r) * (1.0 / (F.col("labels") + 2.0) + 1.0 / (others + 2.0))
     alone = F.col("n") == F.col("all_n")
-    rare = F.col("n") * 100 < F.col("all_n") * RARE_PERCENT
+    unknown = (F.col("n") * 100 < F.col("all_n") * RARE_PERCENT) & (F.col("labels") < LEAST_LABELS)
     differs = (p - q) * (p - q) > F.lit(CRITICAL) * spread
-    chosen = F.when(alone | (~rare & differs), F.col("segment")).otherwise("*")
+    chosen = F.when(alone | (~unknown & differs), F.col("segment")).otherwise("*")
     decided = both.select(*node, "segment", chosen.alias("chosen"))
     joined = shapes.join(decided, [*node, "segment"], "left")
     grown = F.when(F.col("chosen").isNotNull(), F.concat(
