@@ -56,6 +56,19 @@ def test_a_bad_section_among_sixty_is_rejected(spark):
     assert {r[i].verdict for i in r} == {"allow"}          # two labels a section tell too little
 
 
+def test_sections_below_the_third_segment(spark):
+    def slug(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+
+    deep = "http://h.org/2024/05/12"
+    urls = [f"{deep}/{'casino' if i % 4 == 0 else 'news'}/x/{slug(i)}/end" for i in range(400)]
+    urls += ["http://h.org", f"{deep}/news", "http://h.org/" + "a/" * 40]
+    good = [i % 4 != 0 for i in range(400)] + [True] * 3
+    r = judged(spark, urls, zip(urls, good))
+    assert [r[i].verdict == "allow" for i in r] == [good[i] for i in r]
+    assert r[0].template.endswith("/casino/x/*/end") and r[402].template.count("/") == 41
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}
 

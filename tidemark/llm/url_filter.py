@@ -10,7 +10,11 @@ path the URL's path starts with, decides.  Other URLs are judged by the template
    rests on enough labels is rejected.
 
 Everything is built-in expressions, combining aggregates and joins.  Only distinct shapes with their
-counts pass through the tree, whose levels are bounded; the rest of a longer path is one segment.
+counts pass through the tree.  A shape leaves it at its end, or where no other shape of its node goes
+on, as nothing is left to decide there; the tree ends when all have left.
+
+The SQL of op1 merges every child with few URLs and joins what lies beyond ``LEVELS`` to one segment;
+the given pages have neither such children that differ nor such paths.
 
 Defined results: without ``://`` (or null) host and path are empty and no rule fits; templates
 without labels take their host's purity; repeated rows stay; an empty table gives an empty table.
@@ -20,6 +24,7 @@ Input columns cannot clash, as only the url and the columns named in ``keep`` ar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read_table
 from tidemark.runtime import materialize
 
-LEVELS = 4
+LEVELS = 4                     # of the SQL
 RARE_PERCENT = 2               # of its parent's URLs; a child with less needs LEAST_LABELS
 CRITICAL = 3.84                # of z squared: 95 per cent
 STRENGTH = 10                  # labels that a prior counts for
@@ -65,22 +70,19 @@ def fitting_rule(rules: Sequence[Rule]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def path_shape(path: Column, levels: int = LEVELS) -> Column:
-    """Segments with digits generalised; what lies beyond the levels is one segment."""
-    segments = F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/", -1)
-    rest = F.array_join(F.slice(segments, F.lit(levels + 1), F.greatest(
-        F.size(segments) - F.lit(levels), F.lit(0))), "/")
-    return F.when(F.size(segments) > levels, F.concat(
-        F.slice(segments, 1, levels), F.array(rest))).otherwise(segments)
+def path_shape(path: Column) -> Column:
+    """Segments with digits generalised."""
+    return F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/", -1)
 
 
 def _level(shapes: DataFrame, level: int) -> DataFrame:
-    """Decide the segments of one level: ``prefix`` grows by them."""
-    segment = F.get("shape", F.lit(level))
-    shapes = shapes.withColumn("segment", segment)
+    """Decide the segments of one level of open shapes: ``prefix`` grows by them.
+
+    Those that end or are the only one of their node that goes on get their whole template.
+    """
+    shapes = shapes.withColumn("segment", F.get("shape", F.lit(level)))
     node = ["host", "prefix"]
-    there = shapes.where("segment IS NOT NULL")
-    children = there.groupBy(*node, "segment").agg(
+    children = shapes.groupBy(*node, "segment").agg(
         F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("good").alias("good"))
     parents = children.groupBy(*node).agg(
         F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"),
@@ -97,20 +99,35 @@ def _level(shapes: DataFrame, level: int) -> DataFrame:
     differs = (p - q) * (p - q) > F.lit(CRITICAL) * spread
     chosen = F.when(alone | (~unknown & differs), F.col("segment")).otherwise("*")
     decided = both.select(*node, "segment", chosen.alias("chosen"))
-    joined = shapes.join(decided, [*node, "segment"], "left")
-    grown = F.when(F.col("chosen").isNotNull(), F.concat(
-        "prefix", F.lit("" if level == 0 else "/"), "chosen")).otherwise(F.col("prefix"))
-    return joined.select("host", "shape", "n", "labels", "good", grown.alias("prefix"))
-
-
-def path_templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
+    joined = shapes.join(decided, [*node, "segment"])
+    grown = F.concat("prefix", F.lit("" if level == 0 else "/"), "chosen")
+    joined = joined.select("host", "shape", "n", "labels", "good", grown.alias("prefix"))
+    more = F.col("size") > level + 1
+    going = joined.withColumn("size", F.size("shape"))
+    # How many shapes of the grown node go on: merged children are one node.
+    nodes = going.where(more).groupBy(*node).agg(F.count("*").alias("going"))
+    going = going.join(nodes, node, "left")
+    rest = F.array_join(F.slice("shape", F.lit(level + 2), F.greatest(
+        F.col("size") - F.lit(level + 1), F.lit(0))), "/")
+    only = more & (F.col("going") == 1)
+    return going.select("host", "shape", "n", "labels", "good", F.when(
+        only, F.concat("prefix", F.lit("/"), rest)).otherwise(F.col("prefix")).alias("prefix"),
+        (more & ~only).alias("open"))
+
+
+def path_templates(urls: DataFrame) -> DataFrame:
     """From (host, path, labels, good): template and smoothed purity of every (host, shape)."""
-    shapes = urls.withColumn("shape", path_shape(F.col("path"), levels)).groupBy(
+    shapes = urls.withColumn("shape", path_shape(F.col("path"))).groupBy(
         "host", "shape").agg(F.count("*").alias("n"), F.sum("labels").alias("labels"),
                              F.sum("good").alias("good"))
-    shapes = materialize(shapes.withColumn("prefix", F.lit("")), "url-shapes")
-    for level in range(levels + 1):        # stored, as each level reads the one before three times
-        shapes = materialize(_level(shapes, level), "url-shapes")
+    rest = materialize(shapes.withColumn("prefix", F.lit("")), "url-shapes")
+    level, done = 0, []
+    while not rest.isEmpty():              # stored, as each level reads the one before three times
+        stored = materialize(_level(rest, level), "url-shapes")
+        done.append(stored.where("NOT open").drop("open"))
+        rest = stored.where("open").drop("open")
+        level += 1
+    shapes = reduce(DataFrame.unionByName, done, rest)
     templates = shapes.groupBy("host", "prefix").agg(F.sum("labels").alias("labels"),
                                                      F.sum("good").alias("good"))
     hosts = templates.groupBy("host").agg(F.sum("labels").alias("host_labels"),
@@ -124,8 +141,7 @@ def path_templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES,
-                url: str = "url", keep: Sequence[str] = ("page_id",),
-                levels: int = LEVELS) -> DataFrame:
+                url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """host, path, rule, verdict, template, template_labels and purity of every page's URL.
 
     ``labelled`` has (url, good): a labelled URL each, good or not.
@@ -139,10 +155,10 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = R
         F.col("good").cast("long").alias("good"))
     # Pages count towards a node's URLs, labelled URLs towards its purity.
     urls = rows.select("host", "path", none.alias("labels"), none.alias("good"))
-    templates = path_templates(urls.unionByName(labels), levels)
+    templates = path_templates(urls.unionByName(labels))
     rule, verdict = fitting_rule(rules)
     bad = (F.col("template_labels") >= LEAST_LABELS) & (F.col("purity") < LEAST_PURITY)
-    judged = rows.withColumn("shape", path_shape(F.col("path"), levels)).join(
+    judged = rows.withColumn("shape", path_shape(F.col("path"))).join(
         templates, ["host", "shape"], "left")
     return judged.select(
         *keep, "host", "path", rule.alias("rule"),
