@@ -153,6 +153,23 @@ def test_leaks_up_to_edits(spark):
     assert not any(finder.leaks(" ".join(r.choices(FILLER, k=300))) for _ in range(50))
 
 
+@pytest.mark.parametrize("size", [100, 200, 400])
+def test_long_items_are_found_up_to_edits(size):
+    r = random.Random(size)
+    items = [(i, [r.choice(FILLER) + r.choice("abc") for _ in range(size)]) for i in range(10)]
+    finder = decontaminate.Finder(items, 0.8, decontaminate.WALKS, decontaminate.SAMPLES)
+    found = 0
+    for trial in range(40):
+        key, words = items[trial % 10]
+        words = list(words)
+        for _ in range(decontaminate.allowed(size, 0.8)):
+            p = r.randrange(len(words))
+            words[p:p + r.choice((0, 1))] = r.choice(([], ["new"]))
+        text = r.choices(FILLER, k=30) + words + r.choices(FILLER, k=30)
+        found += key in {x["item_id"] for x in finder.leaks(" ".join(text))}
+    assert found >= 39
+
+
 def test_fewest_edits_is_exact():
     import numpy as np
 

@@ -6,7 +6,9 @@ every word by locality-sensitive hashing of their CGK embedding: a random walk c
 moves on by a random bit that depends on the step and the word, so that two sequences that differ
 by few edits soon walk in step again and agree in most places of their embeddings.  Each of
 ``WALKS`` walks samples ``SAMPLES`` places for every size of window; equal samples make a candidate,
-and a dynamic programme then gives its exact edit distance.
+and a dynamic programme then gives its exact edit distance.  Walks drift apart on long sequences, so
+items of more than ``PIECE`` words are sought by equal pieces of at most so many: one of them has no
+larger share of edits than the whole, and any of them that is found makes the item a candidate.
 
 Windows are embedded only where a match can be: edits cut an item into at most edits + 1 runs, so
 one run of (m - edits) / (edits + 1) words stays whole, and a stretch of text without such a run
@@ -40,7 +42,8 @@ ship_by_value(__name__)
 SIMILARITY = 0.8
 WALKS = 32
 SAMPLES = 3
-SIZE_RATIO = 1.2               # items within this ratio of words share samples
+PIECE = 60                     # words; up to here the walks meet their recall at 20 per cent edits
+SIZE_RATIO = 1.2               # pieces within this ratio of words share samples
 BLOCK_WORDS = 500_000
 STARTS = 256                   # windows embedded at a time
 SEED = 7
@@ -124,21 +127,23 @@ class Finder:
         self.samples = samples
         rng = np.random.default_rng(SEED)
         self.salts = rng.integers(1 << 62, size=walks).astype(np.uint64)
-        order = np.argsort(sizes, kind="stable")
+        pieces = [(i, piece) for i, c in enumerate(self.coded)
+                  for piece in np.array_split(c, -(-len(c) // PIECE))]
+        lengths = np.array([len(piece) for _, piece in pieces])
         starts: list[int] = []
-        for n in sizes[order].tolist():
+        for n in np.sort(lengths).tolist():
             if not starts or n > starts[-1] * SIZE_RATIO:
                 starts.append(n)
-        self.classes = np.searchsorted(starts, sizes, side="right") - 1
+        classes = np.searchsorted(starts, lengths, side="right") - 1
         self.places = [np.stack([np.sort(rng.choice(2 * n, min(samples, 2 * n), replace=False))
                                  for _ in range(walks)]) for n in starts]
         self.mixers = [rng.integers(1 << 62, size=p.shape).astype(np.uint64) | np.uint64(1)
                        for p in self.places]
         self.steps = int(max(p.max() for p in self.places)) + 1
         keys, owners = [], []
-        for i, c in enumerate(self.coded):
-            embedded = self.embed(c, np.zeros(1, np.int64))
-            k = self.keys(embedded, self.classes[i]).ravel()
+        for (i, piece), size_class in zip(pieces, classes):
+            embedded = self.embed(piece, np.zeros(1, np.int64))
+            k = self.keys(embedded, size_class).ravel()
             keys.append(k)
             owners.append(np.full(len(k), i))
         flat = np.concatenate(keys)
@@ -191,7 +196,7 @@ class Finder:
         return out
 
     def candidates(self, words: np.ndarray) -> set[int]:
-        """Items whose samples equal those of some window of the words, by some walk."""
+        """Items with a piece whose samples equal those of some window of the words, by some walk."""
         found: set[int] = set()
         for low in range(0, len(words), STARTS):
             starts = np.arange(low, min(low + STARTS, len(words)))
