@@ -15,7 +15,8 @@ one run of (m - edits) / (edits + 1) words stays whole, and a stretch of text wi
 of words of any item cannot hold one.
 
 Items are a stated query set.  They are taken in blocks of at most ``BLOCK_WORDS`` words, one pass
-over the texts a block, so neither the driver nor a task ever holds more of them.
+over the texts a block.  The passes are chained in one plan, so the driver holds every block and a
+task one block for each of its workers: memory grows with the items beyond one block.
 
 Defined results: a null or empty text holds nothing; an item without words is never found; repeated
 rows and repeated items are reported each; an item found more than once in a text is reported once,
