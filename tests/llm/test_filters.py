@@ -95,6 +95,27 @@ def test_page_of_frequent_lines_only_keeps_its_text(spark):
     assert out[9] == "Menu\n\n Menu " and out[0] == "body 0"
 
 
+def test_a_whole_copy_of_near_copies_survives(spark):
+    r = random.Random(8)
+
+    def line():
+        return " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(12))
+
+    copy = [line() for _ in range(30)]
+    rows = [(i, "\n".join(copy[:i % 10] + [line()] + copy[i % 10 + 1:]), "a") for i in range(40)]
+    rows += [(100 + i, f"{line()}\n{line()}", "a") for i in range(460)]
+    menu = line() + line()                 # most of the words of 200 pages of another host
+    rows += [(1000 + i, f"{menu}\n{line()[:40]}", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = stages.lines(spark, df, SMALL)
+    left = {line for x in cleaned.collect() for line in x.text.split("\n")}
+    assert left == {line for _, text, _ in rows for line in text.split("\n")}
+    out = stages.near_duplicates(spark, cleaned, SMALL).collect()
+    assert sum(x.text.count("\n") == 29 for x in out if x.doc_id < 100) == 1
+    thin = [x for x in out if x.source == "b"]
+    assert len(thin) == 200 and sum(menu in x.text for x in thin) == 1
+
+
 # --- quality rules ------------------------------------------------------------------------------
 
 def test_repeated_words():

@@ -6,6 +6,11 @@ as one, above and below the fraction, so that copies of a page do not turn its t
 boilerplate; and a page whose lines are all above the ratio keeps its text, because that is a copy
 and a matter for near-duplicate removal.
 
+With ``whole_percent``, as in the pipeline, near copies are shielded too.  Of the pages of a host that
+would lose the same lines, with more than this share of their words, one keeps its text, so lines
+that a group of near copies shares are never dropped from all of it; the others lose those lines and
+keep their own.  The query goes without, as its SQL does.
+
 Lines travel as two 64-bit hashes.  Distinct (host, line, page) rows are shuffled by all three, so
 no host and no line gathers in one task; what is joined back is one row a page with lines to drop.
 
@@ -21,9 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import nested, read_table
+from tidemark.runtime import materialize
 
 PERCENT = 5                    # of a host's pages; a line of more is boilerplate
 MIN_PAGES = 3                  # and of at least so many
+WHOLE_PERCENT = 50             # of a page's words; losing more, one page of a kind stays whole
 
 
 def line_key(line: Column) -> Column:
@@ -33,6 +40,23 @@ def line_key(line: Column) -> Column:
                                        F.xxhash64(F.lit(7), text).alias("b")))
 
 
+def weighed_key(line: Column) -> Column:
+    """The key of a line with its number of words."""
+    key = line_key(line)
+    words = F.size(F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+"))
+    return F.when(key.isNotNull(), F.struct(key["a"].alias("a"), key["b"].alias("b"),
+                                            words.alias("n")))
+
+
+def unshielded(drops: DataFrame, percent: int) -> DataFrame:
+    """Pages with lines to drop, but for one of those that would lose the same lines and more than
+    the share of their words."""
+    drops = materialize(drops, "lines-to-drop")
+    most = drops.where(F.expr(f"100 * gone > {percent} * words"))
+    whole = most.groupBy("host", "same").agg(F.min("page").alias("page")).select("host", "page")
+    return drops.join(whole, ["host", "page"], "left_anti").select("host", "page", "drops")
+
+
 def boilerplate(pages: DataFrame, percent: int = PERCENT,
                 min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """From distinct (host, page, line): the lines above the ratio, with their pages."""
@@ -44,7 +68,8 @@ def boilerplate(pages: DataFrame, percent: int = PERCENT,
 
 
 def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text",
-                    percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+                    percent: int = PERCENT, min_pages: int = MIN_PAGES,
+                    whole_percent: int | None = None) -> DataFrame:
     """``docs`` without boilerplate lines, with ``n_lines`` (not blank, before) and ``n_dropped``."""
     value = F.col(f"row.`{text}`")
     rows = nested(docs)
@@ -55,13 +80,26 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text",
         F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(7), value).alias("b"))
         .alias("page"))
     # Every page also gives a row without a line, which counts the page itself.
-    keys = F.array_distinct(F.transform(lines, line_key))
+    key_of, kind, words = line_key, "struct<a:bigint,b:bigint>", []
+    if whole_percent is not None:
+        key_of, kind = weighed_key, "struct<a:bigint,b:bigint,n:int>"
+    keys = F.array_distinct(F.transform(lines, key_of))
+    if whole_percent is not None:
+        words = [F.aggregate(keys, F.lit(0), lambda n, x: n + F.coalesce(x["n"], F.lit(0)))
+                 .alias("words")]
     seen = rows.where(value.isNotNull()).select(
-        "host", "page", F.explode(F.array_union(keys, F.array(
-            F.lit(None).cast("struct<a:bigint,b:bigint>")))).alias("line")).distinct()
+        "host", "page", *words, F.explode(F.array_union(keys, F.array(
+            F.lit(None).cast(kind)))).alias("line")).distinct()
     above, _ = boilerplate(seen, percent, min_pages)
     marked = seen.where("line IS NOT NULL").join(above, ["host", "line"], "left_semi")
-    drops = marked.groupBy("host", "page").agg(F.collect_list("line").alias("drops"))
+    plain = F.struct("line.a", "line.b")
+    if whole_percent is None:
+        drops = marked.groupBy("host", "page").agg(F.collect_list(plain).alias("drops"))
+    else:
+        drops = unshielded(marked.groupBy("host", "page").agg(
+            F.collect_list(plain).alias("drops"), F.sum("line.n").alias("gone"),
+            F.max("words").alias("words"), F.struct(F.bit_xor("line.a"), F.bit_xor("line.b"))
+            .alias("same")), whole_percent)
     joined = rows.join(drops, ["host", "page"], "left")
 
     split = F.filter(F.transform(lines, lambda x: F.struct(x.alias("text"),

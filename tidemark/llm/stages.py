@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; ``n_chars`` follows the text."""
     rows, names = set_aside(docs)
-    cleaned = brought_back(line_dedup.drop_site_lines(rows, names["source"], names["text"]), names)
+    cleaned = brought_back(line_dedup.drop_site_lines(
+        rows, names["source"], names["text"], whole_percent=line_dedup.WHOLE_PERCENT), names)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.length("text").cast(kind)
