@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     line_dedup,
     packed,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secret_scan.op8_secret_scan,
         simhash.op9_simhash,
         unigram.op10_token_counts,
+        conversation_repair.op11_conversation_repair,
     )
 }
 
