@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     bpe,
+    collocations,
     conversation_repair,
     decontaminate,
     line_dedup,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op9_simhash,
         unigram.op10_token_counts,
         conversation_repair.op11_conversation_repair,
+        collocations.op12_collocations,
     )
 }
 
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
