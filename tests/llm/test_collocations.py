@@ -83,8 +83,8 @@ def test_every_start_is_owned_by_one_chunk():
     for _ in range(50):
         tokens = co.tokens_of([t for _, t in texts(r, 20)])
         going, ending = co.parse(tokens)
-        n = sum(len(c.split(" ")) - co.OVERLAP for c in going) + sum(len(c.split(" ")) for c in ending)
-        assert n == sum(t != "\n" for t in tokens)
+        n = sum(len(c.split(b" ")) - co.OVERLAP for c in going) + sum(len(c.split(b" ")) for c in ending)
+        assert n == sum(t != co.END for t in tokens)
 
 
 def test_equal_stretches_give_equal_chunks():

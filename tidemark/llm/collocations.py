@@ -54,10 +54,11 @@ SLOTS = 1 << 27                # bits of the bitmap of frequent phrases: 16 MB
 PAGE = 1 << 15                 # bits that Spark's bitmap functions hold in a value
 HELD_CHUNKS = 300_000          # distinct chunks a task gathers before it passes them on
 HELD_PHRASES = 4_000_000       # occurrences of phrases likewise
-HELD_WORDS = 1 << 20           # distinct words likewise; three codes fit in 63 bits
+HELD_WORDS = 1 << 19           # distinct words likewise; three codes fit in 63 bits
 SEED = 42                      # of Spark's xxhash64
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"   # fixed: what ends a piece
-TO_PLAIN = bytes.maketrans(SEPARATORS.encode() + b"\t", b"\n" * len(SEPARATORS) + b" ")
+END = b"\xff"                  # stands after every piece; no UTF-8 text has that byte
+TO_PLAIN = bytes.maketrans(SEPARATORS.encode() + b"\t", END * len(SEPARATORS) + b" ")
 ENDING = re.compile(f"[{SEPARATORS}]")
 FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -74,23 +75,23 @@ def parts_of(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def tokens_of(texts: list[str]) -> list[str]:
-    """All words in order, with a line feed, which no word holds, after every piece."""
-    plain = ("\n".join(texts) + "\n").encode().lower().translate(TO_PLAIN).decode()
-    return [w for w in plain.replace("\n", " \n ").split(" ") if w]
+def tokens_of(texts: list[str]) -> list[bytes]:
+    """All words in order, with END after every piece."""
+    plain = "\n".join(texts).encode().lower().translate(TO_PLAIN) + END
+    return plain.replace(END, b" " + END + b" ").split()
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode(), SEED) for w in words], np.uint64)
+    return np.array([digest(w, SEED) for w in words], np.uint64)
 
 
-def parse(tokens: list[str]) -> tuple[list[str], list[str]]:
+def parse(tokens: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     """Chunks that go on (their last words start the next chunk) and chunks that end their piece."""
     code = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
     own = np.fromiter(map(code.__getitem__, tokens), np.int64, len(tokens))
     hashes = word_hashes(list(code))[own]
-    is_end = own == code["\n"]
+    is_end = own == code[END]
     ends = np.flatnonzero(is_end)
     window = np.zeros(len(tokens), np.uint64)
     inside = np.ones(len(tokens), bool)
@@ -108,7 +109,7 @@ def parse(tokens: list[str]) -> tuple[list[str], list[str]]:
     stops = np.where(goes_on, following + OVERLAP, stops)
     open_chunks, closed = [], []
     for a, b, more in zip(starts.tolist(), stops.tolist(), goes_on.tolist()):
-        (open_chunks if more else closed).append(" ".join(tokens[a:b]))
+        (open_chunks if more else closed).append(b" ".join(tokens[a:b]))
     return open_chunks, closed
 
 
@@ -121,11 +122,12 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
         held: dict[tuple[str, bool], Counter] = {}
 
         def batch_of() -> pa.RecordBatch:
-            sizes = [len(c) for c in held.values()]
+            which = np.repeat(np.arange(len(held)), [len(c) for c in held.values()])
+            langs, goes_on = zip(*held)
             return pa.RecordBatch.from_pydict({
-                "lang": pa.array([k[0] for k, n in zip(held, sizes) for _ in range(n)], pa.string()),
+                "lang": pa.array(langs, pa.string()).take(pa.array(which)),
                 "chunk": pa.array([x for c in held.values() for x in c], pa.string()),
-                "open": pa.array([k[1] for k, n in zip(held, sizes) for _ in range(n)], pa.bool_()),
+                "open": pa.array(goes_on, pa.bool_()).take(pa.array(which)),
                 "n": pa.array([x for c in held.values() for x in c.values()], pa.int64())})
 
         def add(own: str, texts: list[str]) -> None:
@@ -188,8 +190,9 @@ def _phrase_counts(batches: Iterator[pa.RecordBatch], order: int,
                    frequent: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """Rows of the dictionary to (lang, phrase, n), combined as far as memory allows."""
     bits = np.frombuffer(frequent.value, np.uint8) if frequent else None
-    codes: dict[str, dict[str, int]] = {}
-    names: list[tuple[str, str]] = []
+    codes: dict[str, dict[bytes, int]] = {}
+    names: list[bytes] = []
+    lang_of = np.zeros(0, np.int32)        # the word's place in ``codes``
     hashes = np.zeros(0, np.uint64)
     keys: list[np.ndarray] = []
     weights: list[np.ndarray] = []
@@ -206,28 +209,31 @@ def _phrase_counts(batches: Iterator[pa.RecordBatch], order: int,
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
         n = np.add.reduceat(weight, starts) if len(key) else weight
         key = key[starts]
-        parts = [(key >> np.int64(21 * i) & np.int64((1 << 21) - 1)).tolist()
-                 for i in reversed(range(order))]
-        phrases = [" ".join([names[c][1] for c in code]) for code in zip(*parts)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([names[c][0] for c in parts[0]], pa.string()), pa.array(phrases, pa.string()),
-             pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+        parts = [key >> np.int64(21 * i) & np.int64((1 << 21) - 1) for i in reversed(range(order))]
+        words = pa.array(names, pa.string())
+        phrases = words.take(pa.array(parts[0]))
+        for part in parts[1:]:
+            phrases = pa.compute.binary_join_element_wise(phrases, words.take(pa.array(part)), " ")
+        langs = pa.array(codes, pa.string()).take(pa.array(lang_of[parts[0]]))
+        return pa.RecordBatch.from_arrays([langs, phrases, pa.array(n, pa.int64())],
+                                          names=["lang", "phrase", "n"])
 
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         which = langs.indices.to_numpy()
-        chunks = batch.column("chunk").to_pylist()
+        chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
         for i, lang in enumerate(langs.dictionary.to_pylist()):
             rows = np.flatnonzero(which == i)
             own = [chunks[r] for r in rows.tolist()]
-            words = " ".join(own).split(" ")
+            words = b" ".join(own).split(b" ")
             known = codes.setdefault(lang, {})
             new = [w for w in dict.fromkeys(words) if w not in known]
             known.update(zip(new, range(len(names), len(names) + len(new))))
-            names += [(lang, w) for w in new]
+            names += new
+            lang_of = np.append(lang_of, np.full(len(new), list(codes).index(lang), np.int32))
             hashes = np.concatenate([hashes, word_hashes(new)])
             code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            length = np.array([c.count(" ") + 1 for c in own])
+            length = np.array([c.count(b" ") + 1 for c in own])
             place = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
             goes_on = batch.column("open").to_numpy(zero_copy_only=False)[rows]
             # Of an open chunk the last words belong to the next one.
@@ -247,7 +253,8 @@ def _phrase_counts(batches: Iterator[pa.RecordBatch], order: int,
             yield batch_of()
             keys, weights, held = [], [], 0
             if len(names) > HELD_WORDS // 2:
-                codes, names, hashes = {}, [], np.zeros(0, np.uint64)
+                codes, names = {}, []
+                lang_of, hashes = np.zeros(0, np.int32), np.zeros(0, np.uint64)
     if keys:
         yield batch_of()
 
