@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import (
     bpe,
     collocations,
+    context_weighting,
     conversation_repair,
     decontaminate,
     line_dedup,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unigram.op10_token_counts,
         conversation_repair.op11_conversation_repair,
         collocations.op12_collocations,
+        context_weighting.op13_context_weighting,
     )
 }
 
