@@ -149,10 +149,10 @@ def test_query_against_the_definition(spark):
 
 def test_longer_contexts_shorten_held_out_texts(spark, monkeypatch):
     bits = []
-    for depth in (1, 3, 5):
+    for depth in (1, 3, 6):
         monkeypatch.setattr(cw, "DEPTH", depth)
         got = cw.op13_context_weighting(spark, MEDIUM).where("held_out").agg(
             F.count("*").alias("n"), F.avg("bits_per_byte").alias("bits")).first()
         assert got.n > 100
         bits.append(got.bits)
-    assert bits[0] > bits[1] + 0.3 > bits[2] + 0.4 and bits[2] < 2.3
+    assert bits[0] > bits[1] + 0.3 > bits[2] + 0.5 and bits[2] < 2.2

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import brought_back, read_table, set_aside
@@ -46,8 +47,8 @@ from tidemark.runtime import materialize, shared_folder, ship_by_value
 
 ship_by_value(__name__)
 
-DEPTH = 5                      # bytes of the longest context; with its byte, a run fits in a long
-BLOCK = 16 << 20               # bytes of text a block takes before the next one begins
+DEPTH = 4                      # bytes of the longest context; with its byte, at most 7 fit a long
+BLOCK = 32 << 20               # bytes of text a block takes before the next one begins
 PART = 1 << 20                 # bytes looked up at a time
 END = b"\n"
 FOLDS, HELD = 7, 2             # crc32(key) mod FOLDS of held-out texts
@@ -238,7 +239,8 @@ def nodes(runs: DataFrame, depth: int) -> list[DataFrame]:
 
 def run_scores(counts: DataFrame) -> DataFrame:
     """(run, value): log10 of the probability of each run's last byte after the others."""
-    distinct = counts.where("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n"))
+    distinct = materialize(counts.where("run IS NOT NULL").groupBy("run").agg(
+        F.sum("n").alias("n")), "runs")
     byte = F.col("run").bitwiseAND(F.lit(255).cast("long"))
     bits = F.array(*[F.struct(
         F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k).cast("long")).cast("int").alias("prefix"),
@@ -246,7 +248,6 @@ def run_scores(counts: DataFrame) -> DataFrame:
         for k in range(8)])
     runs = distinct.select("run", F.shiftright("run", 8).alias("ctx"), "n",
                            F.explode(bits).alias("d")).select("run", "ctx", "n", "d.*")
-    runs = materialize(runs, "context-bits")
     levels = nodes(runs, DEPTH)
     # Mixed so far, weight left, and the probability if this context is the last one seen.
     told = levels[0].select("ctx", "prefix", (F.col("stop") * F.col("kt")).alias("mixed"),
@@ -269,8 +270,8 @@ def run_scores(counts: DataFrame) -> DataFrame:
         F.sum(F.log10(chosen)).alias("value"))
 
 
-def _scored(rows: pa.Table, values: pa.Table, text: str, kept: list[str],
-            schema: pa.Schema) -> pa.Table:
+def _scored(rows: pa.Table, values: pa.Table, text: str, kept: list[str], schema: pa.Schema,
+            total: int, size: int) -> pa.Table:
     """One block's texts with the sums of their runs' and words' values."""
     is_run = values.column("word").is_null().to_numpy()
     value = values.column("value").to_numpy()
@@ -279,8 +280,8 @@ def _scored(rows: pa.Table, values: pa.Table, text: str, kept: list[str],
     run, of_run = run[order], value[is_run][order]
     words = values.column("word").filter(pa.array(~is_run)).to_pylist()
     of_word = dict(zip(words, value[~is_run].tolist()))
-    seen = values.column("n").to_numpy()[~is_run] > 0
-    known = {w for w, some in zip(words, seen.tolist()) if some}
+    rare = math.log10(1.5 / size)          # between the values of no and of one occurrence
+    known = {w for w, own in of_word.items() if own > rare}
     out: list[list] = [[] for _ in range(5)]
     for piece in rows.column(text).to_pylist():
         tokens = tokens_of(piece)
@@ -291,9 +292,8 @@ def _scored(rows: pa.Table, values: pa.Table, text: str, kept: list[str],
                 math.fsum(map(of_word.__getitem__, tokens)), score,
                 -score / math.log10(2) / len(stream))):
             column.append(x)
-    total = values.column("total").to_numpy()[:1]
     made = [rows.column("held"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-            pa.array(np.repeat(total, len(out[0])), pa.int64()), pa.array(out[2], pa.float64()),
+            pa.array(np.full(len(out[0]), total), pa.int64()), pa.array(out[2], pa.float64()),
             pa.array(out[3], pa.float64()), pa.array(out[4], pa.float64())]
     return pa.Table.from_arrays([*(rows.column(c) for c in kept), *made], schema=schema)
 
@@ -306,25 +306,25 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text") -> DataFr
     stored = in_blocks(rows, names[text], F.coalesce(F.col(f"`{flag}`"), F.lit(False)))
     counts = block_counts(stored, names[text])
     words = counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
-    words = materialize(words, "word-counts")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"),
                       F.count_if(F.col("c") > 0).alias("kinds")).first()
     size = total["total"] + total["kinds"] + 1
-    of_words = counts.where("word IS NOT NULL").select("block", "word").join(
-        words, "word").select("block", F.lit(None).cast("long").alias("run"), "word",
-                              F.col("c").alias("n"),
-                              F.log10((F.col("c") + 1) / F.lit(size).cast("double")).alias("value"))
+    everywhere = F.sum("n").over(Window.partitionBy("word"))
+    of_words = counts.where("word IS NOT NULL").select("block", "word", everywhere.alias("c")).select(
+        "block", F.lit(None).cast("long").alias("run"), "word",
+        F.log10((F.col("c") + 1) / F.lit(size).cast("double")).alias("value"))
     of_runs = counts.where("run IS NOT NULL").select("block", "run").join(
-        run_scores(counts), "run").select("block", "run", F.lit(None).cast("binary").alias("word"),
-                                          F.lit(0).cast("long").alias("n"), "value")
-    values = of_runs.unionByName(of_words).withColumn("total", F.lit(total["total"]).cast("long"))
+        run_scores(counts), "run").select(
+        "block", "run", F.lit(None).cast("binary").alias("word"), "value")
+    values = of_runs.unionByName(of_words)
     taken = {f.name.lower() for f in made}
     kept = {c: w for c, w in names.items() if c.lower() not in taken}
     # Working names do not clash with the results'.
     schema = type(made)([stored.schema[w] for w in kept.values()] + list(made))
     arrow = to_arrow_schema(schema)
     scored = stored.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
-        lambda left, right: _scored(left, right, names[text], list(kept.values()), arrow), schema)
+        lambda left, right: _scored(left, right, names[text], list(kept.values()), arrow,
+                                    total["total"], size), schema)
     results = {f.name: f.name for f in made}
     return brought_back(scored, kept | results)
 
