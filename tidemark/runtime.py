@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_stored: list[str] = []        # tables of ``materialize`` that still exist
 
 
 def build_session(app_name: str = "tidemark", master: str | None = None,
@@ -60,9 +61,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_since(mark: int = 0) -> list[str]:
+    """Paths of the tables stored after the first ``mark`` ones."""
+    return _stored[mark:]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables of ``materialize``.  The caller knows that nothing reads them any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _stored:
+            _stored.remove(path)
+
+
 def ship_by_value(module: str) -> None:
     """Send the module's Python functions to executors with the task, so that none of them needs
     this package installed."""
