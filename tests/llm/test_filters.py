@@ -95,6 +95,16 @@ def test_page_of_frequent_lines_only_keeps_its_text(spark):
     assert out[9] == "Menu\n\n Menu " and out[0] == "body 0"
 
 
+def test_a_very_long_text(spark):
+    lines = [f"line {i % 9000}" for i in range(60_000)]
+    rows = [(i, f"{lines[1]}\nbody {i}", "a") for i in range(10)] + [(99, "\n".join(lines), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for percent in (None, line_dedup.WHOLE_PERCENT):
+        out = line_dedup.drop_site_lines(df, whole_percent=percent).where("doc_id = 99").first()
+        assert out.text == "\n".join(x for x in lines if x != lines[1])
+        assert (out.n_lines, out.n_dropped) == (60_000, lines.count(lines[1]))
+
+
 def test_a_whole_copy_of_near_copies_survives(spark):
     r = random.Random(8)
 
@@ -112,6 +122,7 @@ def test_a_whole_copy_of_near_copies_survives(spark):
     assert left == {line for _, text, _ in rows for line in text.split("\n")}
     out = stages.near_duplicates(spark, cleaned, SMALL).collect()
     assert sum(x.text.count("\n") == 29 for x in out if x.doc_id < 100) == 1
+    assert sum(x.doc_id < 100 for x in out) == 1          # and no stubs beside it
     thin = [x for x in out if x.source == "b"]
     assert len(thin) == 200 and sum(menu in x.text for x in thin) == 1
 

@@ -9,7 +9,8 @@ a pair at 0.8 shares none with probability (1 - 0.8 ** 5) ** 24, which is 7 in 1
 pair less often.  Candidates are then compared by all their shingles (64-bit hashes of them).
 
 Texts with equal shingles and fingerprint are one row, and only buckets that hold more than one
-class of fingerprints are walked, so copies cost nothing.  A bucket is walked in its task by whole
+class are walked, so copies cost nothing.  The bands are walked in three steps, and what one step has
+linked is one class in the next, so most texts are read for two bands and few for all.  A bucket is walked in its task by whole
 sets; one of more than ``BUCKET_SHINGLES`` is cut into parts, and every pair of parts is a task, so
 no pair is lost and no task holds more.  Where nothing in such a bucket is similar, that work is
 quadratic in its parts, as an exact comparison demands.
@@ -39,6 +40,7 @@ SHINGLE = 5
 SIMILARITY = 4, 5              # as a fraction
 BANDS = 24
 ROWS = 5
+STEPS = 0, 2, 8, BANDS         # bands walked together
 BUCKET_SHINGLES = 4_000_000
 BLOCK = 4_096                  # shingles hashed at a time
 SEED = 11
@@ -149,19 +151,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def similar_links(stored: DataFrame, text: str, roots: DataFrame,
+def similar_links(stored: DataFrame, text: str, units: DataFrame, bands: tuple[int, int],
                   bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
-    """Links (a, b) between the roots of ``roots`` (fp, root) whose texts are similar.
+    """Links (a, b) between the roots of ``units`` (row_id, n_shingles, bands, root) whose texts are
+    similar and share a key of these bands.
 
-    ``stored`` is a stored table with the columns of ``with_bands`` and ``row_id``.
+    ``stored`` is a stored table with the texts by ``row_id``.
     """
-    units = stored.where("n_shingles > 0").groupBy(
-        F.col("fingerprint_bits").alias("fp"), "set_a", "set_b").agg(
-        F.min("row_id").alias("row_id"))
-    units = units.join(roots, "fp").select("row_id", "root")
-    units = materialize(stored.select("row_id", "n_shingles", "bands").join(units, "row_id"),
-                        "band-units")
-    dealt = units.select("row_id", "root", "n_shingles", F.explode("bands").alias("key"))
+    some = F.slice("bands", bands[0] + 1, bands[1] - bands[0])
+    dealt = units.select("row_id", "root", "n_shingles", F.explode(some).alias("key"))
     mixed = dealt.groupBy("key").agg(
         F.sum("n_shingles").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     parts = F.when(F.col("n") > bucket_shingles,
@@ -175,7 +173,7 @@ def similar_links(stored: DataFrame, text: str, roots: DataFrame,
 
     texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(
         members.select("row_id").distinct(), "row_id", "left_semi")
-    sets = materialize(map_texts(texts, "text", "shingles binary", run).drop("text"), "shingles")
+    sets = map_texts(texts, "text", "shingles binary", run).drop("text")
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("low"),
                                                          F.lit(0).alias("high"))))
@@ -193,14 +191,25 @@ def similar_links(stored: DataFrame, text: str, roots: DataFrame,
 
 def near_duplicates(stored: DataFrame, text: str, key: Column,
                     bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
-    """(fp, component): for every fingerprint of ``stored`` the smallest ``key`` of its class."""
+    """(fp, component): for every fingerprint of ``stored`` the smallest ``key`` of its class.
+
+    The bands are walked in ``STEPS``.  What the first ones link is one class for the later ones,
+    which therefore read only the texts of buckets that still hold several classes.
+    """
     classes = stored.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(key).alias("least"))
     classes = materialize(classes, "fingerprint-classes")
     roots = materialize(simhash.fingerprint_roots(classes.select("fp")), "fingerprint-roots")
-    linked = components(similar_links(stored, text, roots, bucket_shingles)).select(
-        "node", F.col("root").alias("joined"))
-    merged = roots.join(linked, F.col("root") == F.col("node"), "left").select(
-        "fp", F.coalesce("joined", "root").alias("root"))
-    rows = classes.join(merged, "fp")
+    # Texts with equal shingles are one row; the other rows of theirs have the same fingerprint.
+    units = stored.where("n_shingles > 0").groupBy(
+        F.col("fingerprint_bits").alias("fp"), "set_a", "set_b").agg(F.min("row_id").alias("row_id"))
+    units = materialize(stored.select("row_id", "n_shingles", "bands").join(
+        units.select("row_id", "fp"), "row_id"), "band-units")
+    for bands in zip(STEPS, STEPS[1:]):
+        linked = components(similar_links(stored, text, units.join(roots, "fp"), bands,
+                                          bucket_shingles)).select(
+            "node", F.col("root").alias("joined"))
+        roots = materialize(roots.join(linked, F.col("root") == F.col("node"), "left").select(
+            "fp", F.coalesce("joined", "root").alias("root")), "fingerprint-roots")
+    rows = classes.join(roots, "fp")
     least = rows.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(least, "root").select("fp", "component")

@@ -14,11 +14,27 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate as leaks, line_dedup, shared_words
 from tidemark.llm import quality as rules
 from tidemark.llm.common import brought_back, read_table, set_aside
-from tidemark.runtime import materialize
+from tidemark.runtime import discard, materialize, stored_since
+
+_finished: list[str] = []      # tables of the stages before
+
+
+def begin(docs: DataFrame) -> int:
+    """Delete what earlier stages stored, unless ``docs`` still reads it.
+
+    A stage's rows are written before the next one gets them, so its tables have had their use.
+    Returns the mark after which the stage's own tables come.
+    """
+    read = docs.inputFiles()
+    done = [p for p in _finished if not any(f"{p}/" in f for f in read)]
+    discard(docs.sparkSession, done)
+    _finished[:] = [p for p in _finished if p not in done]
+    return len(stored_since())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the lenient policy."""
+    begin(docs)
     rows, names = set_aside(docs)
     judged = rules.ledger(rows, names["text"]).where(rules.passes(rules.LENIENT))
     return brought_back(judged, names)
@@ -26,6 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; ``n_chars`` follows the text."""
+    begin(docs)
     rows, names = set_aside(docs)
     cleaned = brought_back(line_dedup.drop_site_lines(
         rows, names["source"], names["text"], whole_percent=line_dedup.WHOLE_PERCENT), names)
@@ -42,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts are near duplicates by their fingerprints (at most 4 bits, as in operator 9) or by 0.8 of
     their five-word shingles.
     """
+    mark = begin(docs)
     rows, names = set_aside(docs)
     stored = shared_words.with_bands(rows, names["text"]).withColumn(
         "row_id", F.monotonically_increasing_id())
@@ -49,12 +67,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.col(f"`{names['doc_id']}`")
     order = F.struct(key.isNull().alias("unnamed"), key.alias("key"), "row_id")
     classes = shared_words.near_duplicates(stored, names["text"], order)
-    keepers = classes.select(F.col("component.row_id")).distinct()
+    keepers = materialize(classes.select(F.col("component.row_id")).distinct(), "keepers")
+    own = stored_since(mark)
+    _finished.extend(own)
+    # Only the stored rows and the keepers are read from here on.
+    kept = set(stored.inputFiles() + keepers.inputFiles())
+    discard(spark, [p for p in own if not any(f"{p}/" in f for f in kept)])
     return brought_back(stored.join(keepers, "row_id", "left_semi"), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    begin(docs)
     rows, names = set_aside(docs)
     found = leaks.find_leaks(rows, read_table(spark, sf_dir, "benchmark"), names["text"])
     return brought_back(found.where(F.size("leaks") == 0), names)
@@ -62,5 +86,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``ids`` and ``n_tokens``."""
+    begin(docs)
     path = public_tokenizers.path(bpe.RANK_FILE)
     return bpe.encode(docs, path).drop("offsets").withColumn("n_tokens", bpe.token_count())
