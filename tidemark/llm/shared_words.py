@@ -171,8 +171,10 @@ def similar_links(stored: DataFrame, text: str, units: DataFrame, bands: tuple[i
     def run(texts: list[str]) -> dict[str, pa.Array]:
         return {"shingles": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
 
+    # Stored, so that its size is known before the texts would be shuffled for it.
+    wanted = materialize(members.select("row_id").distinct(), "band-texts")
     texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(
-        members.select("row_id").distinct(), "row_id", "left_semi")
+        wanted, "row_id", "left_semi")
     sets = map_texts(texts, "text", "shingles binary", run).drop("text")
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("low"),
