@@ -141,7 +141,8 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text",
         F.sum("line.n" if whole_percent is not None else F.lit(0)).alias("gone"))
     if whole_percent is not None:
         drops = unshielded(drops, whole_percent)
-    joined = rows.join(drops.select("host", "page", "drops"), ["host", "page"], "left")
+    # These rows grow with the pages: never a side to broadcast.
+    joined = rows.join(drops.select("host", "page", "drops").hint("merge"), ["host", "page"], "left")
 
     seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(7))).first()[0] % 2 ** 64
     hit = F.col("drops").isNotNull()
