@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from tidemark import settings
 from tidemark.functions.lexicon import lexicon_table
 from tidemark.functions.text import html_to_text, word_count
-from tidemark.operators import curves, documents, fusion, knn, metrics, prices, split, textual
+from tidemark.operators import (
+    curves,
+    documents,
+    fusion,
+    knn,
+    linear,
+    metrics,
+    prices,
+    split,
+    textual,
+)
 from tidemark.plans import collect, features
 from tidemark.plans import train as training
 from tidemark.runtime import materialize, shared_folder, ship_by_value
@@ -433,6 +443,36 @@ def knn_regress(v: Views) -> DataFrame:
     return tidy(knn.knn_regress(_neighbours(v, F.col("ret_1d"))))
 
 
+def _by_horizon(v: Views) -> DataFrame:
+    """Training rows of every horizon with ``ret`` and its direction ``label``, stored."""
+    train, _ = split.chronological_split(fusion.complete_schema(v.imputed))
+    targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}d").alias("ret"))
+                        for h in settings.TARGET_HORIZONS])
+    rows = train.select(*KEY, *FEATURES, F.explode(targets).alias("t")).select(
+        *KEY, *FEATURES, "t.*").where("ret IS NOT NULL")
+    return materialize(rows.withColumn("label", split.direction_label(F.col("ret"))), "horizons")
+
+
+@query
+def linear_optimality(v: Views) -> DataFrame:
+    """Distance of every coefficient of ridge, lasso and logistic models from its optimum."""
+    rows = _by_horizon(v)
+    sums = linear.moments(rows, FEATURES, "ret", "horizon")
+    logistic = linear.fit_logistic(rows, FEATURES, "label", "horizon")
+    out = None
+    for h, m in sums.items():
+        own = rows.where(F.col("horizon") == h)
+        for kind, model, target, penalty in (
+                ("ridge", linear.ridge(m, FEATURES), "ret", 1.0),
+                ("lasso", linear.lasso(m, FEATURES), "ret", 0.001),
+                ("logistic", logistic[h], "label", 1.0)):
+            part = linear.optimality(own, model, target, kind, penalty).select(
+                F.lit(kind).alias("kind"), F.lit(h).alias("horizon"), "feature",
+                (F.round("residual", 8) + 0.0).alias("residual"), "n")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 @query

