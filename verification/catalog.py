@@ -18,6 +18,7 @@ from tidemark.operators import (
     linear,
     metrics,
     prices,
+    projection_hash,
     split,
     textual,
 )
@@ -443,6 +444,21 @@ def knn_regress(v: Views) -> DataFrame:
     return tidy(knn.knn_regress(_neighbours(v, F.col("ret_1d"))))
 
 
+@query
+def knn_approximate(v: Views) -> DataFrame:
+    """What the approximate search finds of the exact neighbours, and that its distances are true."""
+    train, test = (materialize(d, "scaled") for d in _scaled(v))
+    train = materialize(train.withColumn("label", F.col("ret_1d")), "labelled")
+    exact = materialize(knn.nearest_neighbours(train, test, FEATURES), "exact")
+    found = projection_hash.approximate_neighbours(train, test, FEATURES)
+    same = found.select(*KEY, "n_ticker", "n_event_date", F.col("distance").alias("own")).join(
+        exact, [*KEY, "n_ticker", "n_event_date"])
+    told = projection_hash.recall(found, exact)
+    true = same.agg(F.count_if(F.abs(F.col("own") - F.col("distance")) > 1e-9).alias("wrong"))
+    return told.select("n_queries", "n_wanted", (F.col("recall") >= 0.9).alias("reached")).join(
+        F.broadcast(true), F.lit(True)).withColumnRenamed("wrong", "n_wrong_distances")
+
+
 def _by_horizon(v: Views) -> DataFrame:
     """Training rows of every horizon with ``ret`` and its direction ``label``, stored."""
     train, _ = split.chronological_split(fusion.complete_schema(v.imputed))

@@ -473,6 +473,9 @@ def build() -> dict[str, str]:
     out["knn_neighbours"] = knn + f"""
       select {key}, n_ticker, n_event_date, {r("distance")}, cast(rank as int) as rank
       from nearest"""
+    out["knn_approximate"] = knn + f"""
+      select count(distinct (ticker, event_date)) as n_queries, count(*) as n_wanted, true as reached,
+             0::bigint as n_wrong_distances from nearest"""
     out["knn_classify"] = knn + f"""
       select {key}, label::double as predicted from (
         select *, row_number() over (partition by {key} order by vote desc, label) as k from (
