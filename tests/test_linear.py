@@ -64,6 +64,18 @@ def test_ridge_and_lasso_equal_the_library(rows):
                 assert loss(b) <= loss(theirs) + 1e-12
 
 
+def test_a_small_deviation_from_a_large_mean(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, len(FEATURES)))
+    y = x[:, 0] * 0.1 + rng.normal(size=300) * 0.1
+    data = [(1, *map(float, v * 1e-5 + 1000), float(t)) for v, t in zip(x, y)]
+    df = spark.createDataFrame(data, "horizon int, " + ", ".join(f"{c} double" for c in FEATURES)
+                               + ", ret double")
+    model = linear.lasso(linear.moments(df, FEATURES, "ret", "horizon")[1], FEATURES)
+    got = linear.optimality(df, model, "ret", "lasso", 0.001).collect()
+    assert max(abs(r.residual) for r in got) < 1e-8 and model.coefficients[0] > 0.05
+
+
 def test_all_linear_fits_take_one_scan(rows, monkeypatch):
     jobs = []
     plain = type(rows).collect
@@ -72,8 +84,9 @@ def test_all_linear_fits_take_one_scan(rows, monkeypatch):
     for m in found.values():
         for alpha in (0.1, 1.0, 10.0):
             linear.ridge(m, FEATURES, alpha), linear.lasso(m, FEATURES, alpha)
-    assert len(jobs) == 1
-    plan = jobs[0]._jdf.queryExecution().sparkPlan().toString()
+    assert len(jobs) == 2                           # the first reads one row
+    assert "Limit 1" in jobs[0]._jdf.queryExecution().optimizedPlan().toString()
+    plan = jobs[1]._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("InMemoryTableScan") == 1 and "partial_sum" in plan
 
 

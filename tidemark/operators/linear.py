@@ -10,8 +10,8 @@ the driver, without reading the rows again: features are scaled by their populat
 Hessian are built-in sums over the rows, for all groups in one pass a step; a step that does not
 lower the loss is halved.  It ends when no component of the gradient exceeds ``tolerance`` a row.
 
-Products are centred after they are summed, which costs as many digits as the mean exceeds the
-deviation; shift a feature whose mean is a million deviations first.
+Products are summed about the values of one row, read beforehand, so that a feature with a small
+deviation from a large mean keeps its digits.
 
 Defined results: rows without a target are left out; a null or NaN feature counts as 0, as in schema
 completion; a constant feature has coefficient 0; a group without rows has no model; equal rows count
@@ -75,7 +75,7 @@ class Moments:
     @property
     def varying(self) -> np.ndarray:
         """Features that are not constant, as far as the digits tell."""
-        return self.variances > 1e-13 * self.means[:-1] ** 2
+        return self.variances > 1e-24 * self.means[:-1] ** 2
 
     @property
     def scales(self) -> np.ndarray:
@@ -89,17 +89,23 @@ def with_target(rows: DataFrame, target: str) -> DataFrame:
 
 def moments(rows: DataFrame, features: list[str], target: str, group: str) -> dict[object, Moments]:
     """Moments of every group, from one aggregation."""
+    k = len(features) + 1
     known = with_target(rows, target).select(
         F.col(group).alias("group"),
         *[number(c).alias(f"v{i}") for i, c in enumerate([*features, target])])
-    k = len(features) + 1
+    one = known.limit(1).collect()
+    if not one:
+        return {}
+    origin = np.array([one[0][f"v{i}"] for i in range(k)])
+    known = known.select("group", *[(F.col(f"v{i}") - F.lit(float(o))).alias(f"v{i}")
+                                    for i, o in enumerate(origin)])
     sums = ["count(*) AS n", *[f"sum(v{i}) AS s{i}" for i in range(k)]]
     sums += [f"sum(v{i} * v{j}) AS p{i}_{j}" for i in range(k) for j in range(i, k)]
     found = {}
     for r in known.groupBy("group").agg(*map(F.expr, sums)).collect():       # one row a group
         mean = np.array([r[f"s{i}"] for i in range(k)]) / r["n"]
         raw = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        found[r["group"]] = Moments(r["n"], mean, raw - r["n"] * np.outer(mean, mean))
+        found[r["group"]] = Moments(r["n"], origin + mean, raw - r["n"] * np.outer(mean, mean))
     return found
 
 
