@@ -133,7 +133,10 @@ def lasso(m: Moments, features: list[str], alpha: float = 0.001, rounds: int = 1
     inner, cross = (x / m.n for x in _standardised(m))
     b = np.zeros(len(cross))
     free = np.flatnonzero(m.varying)
-    for _ in range(rounds):
+    before = b.copy()
+    for sweep in range(rounds):
+        if sweep % 10 == 9:            # along a flat valley sweeps crawl; go to its end at once
+            b, before = _along(inner, cross, alpha, b, b - before), b.copy()
         most = 0.0
         for j in free:
             rest = cross[j] - inner[j] @ b + inner[j, j] * b[j]
@@ -144,6 +147,28 @@ def lasso(m: Moments, features: list[str], alpha: float = 0.001, rounds: int = 1
     return LinearModel(tuple(features), m.means[:-1], m.scales, b, float(m.means[-1]), m.n)
 
 
+def _along(inner: np.ndarray, cross: np.ndarray, alpha: float, b: np.ndarray, d: np.ndarray
+           ) -> np.ndarray:
+    """The least point of the lasso's objective from ``b`` on in direction ``d``."""
+    curve = d @ inner @ d
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turns = -b / d                 # where a coefficient passes zero
+    turns = np.where(np.isfinite(turns) & (turns > 0), turns, np.inf)
+    at = 0.0
+    for stop in [*np.sort(turns[turns < np.inf]), np.inf]:
+        middle = b + (at + (min(stop, at + 2.0) - at) / 2) * d
+        slope = d @ (inner @ (b + at * d) - cross) + alpha * (np.sign(middle) @ d)
+        if slope >= 0:
+            break
+        if curve > 0 and at - slope / curve <= stop:
+            at -= slope / curve
+            break
+        if stop == np.inf:
+            break
+        at = stop
+    return np.where(turns == at, 0.0, b + at * d)
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str, group: str, c: float = 1.0,
                  tolerance: float = 1e-10, steps: int = 100) -> dict[object, LinearModel]:
     """Logistic models of every group, with balanced class weights and the penalty 1 / (2 c).
