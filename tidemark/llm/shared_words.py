@@ -165,28 +165,28 @@ def similar_links(stored: DataFrame, text: str, units: DataFrame, bands: tuple[i
     parts = F.when(F.col("n") > bucket_shingles,
                    F.ceil(2 * F.col("n") / F.lit(bucket_shingles))).otherwise(1)
     mixed = mixed.where("low <> high").select("key", parts.cast("int").alias("parts"))
-    members = materialize(dealt.join(mixed, "key").select("key", "row_id", "root", "parts"),
-                          "band-members")
+    # One narrow row a text with all its buckets, at most ``BANDS``, stored so that its size is known
+    # before texts would be shuffled for it.  Sets are made behind that join and move once, to their
+    # buckets.
+    members = materialize(
+        dealt.join(mixed, "key").groupBy("row_id", "root").agg(
+            F.collect_list(F.struct("key", "parts")).alias("buckets")), "band-members")
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
         return {"shingles": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
 
-    # Stored, so that its size is known before the texts would be shuffled for it.
-    wanted = materialize(members.select("row_id").distinct(), "band-texts")
-    texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(
-        wanted, "row_id", "left_semi")
-    sets = map_texts(texts, "text", "shingles binary", run).drop("text")
+    texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(members, "row_id")
+    sets = map_texts(texts, "text", "shingles binary", run)
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("low"),
                                                          F.lit(0).alias("high"))))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))
     pairs = pairs.otherwise(F.transform(others, lambda x: F.struct(
         F.least(x, "part").alias("low"), F.greatest(x, "part").alias("high"))))
-    placed = members.withColumn("part", part).select(
-        "key", "row_id", "root", F.explode(pairs).alias("p")).select(
-        "key", "p.low", "p.high", "row_id", "root")
-    placed = placed.join(sets, "row_id").repartition("key", "low", "high").sortWithinPartitions(
-        "key", "low", "high")
+    placed = sets.select("row_id", "root", "shingles", F.inline("buckets")).withColumn("part", part)
+    placed = placed.select("key", "root", "shingles", F.explode(pairs).alias("p")).select(
+        "key", "p.low", "p.high", "root", "shingles")
+    placed = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return placed.select("key", "low", "high", "root", "shingles").mapInArrow(
         _walk, "a long, b long")
 
