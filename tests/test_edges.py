@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import settings
+from tidemark import schemas, settings
 from tidemark.functions.lexicon import TONE_LEXICON, lexicon_table
 from tidemark.functions.text import html_to_text, long_enough, word_count, zero_padded
 from tidemark.operators import curves, documents, fusion, metrics, prices, textual
@@ -375,6 +375,74 @@ def test_forcing_one_event_leaves_the_others(spark):
     assert after[day(-20)] == before[day(-20)] and after[day(0)] < before[day(0)]
 
 
+def _files(spark, root, name, ticker):
+    rows = spark.read.schema(schemas.STORED_BARS if name == "bars" else schemas.STORED_TEXTS).parquet(
+        f"{root}/{name}")
+    return {r[0] for r in rows.where(F.col("ticker") == ticker).select(
+        "_metadata.file_path").distinct().collect()}
+
+
+def _two_entities(spark):
+    texts, b = _store_inputs(spark)
+    both = [d.unionByName(d.withColumn("ticker", F.lit("B /%"))) for d in (events(spark, 0), texts, b)]
+    root = f"{shared_folder(spark)}/edge-{dt.datetime.now().timestamp()}"
+    collect.collect_events(spark, *both, root)
+    return root, *both
+
+
+def test_forcing_rewrites_only_the_entities_it_names(spark):
+    root, e, texts, b = _two_entities(spark)
+    before = {(n, t): _files(spark, root, n, t) for n in ("texts", "bars") for t in ("A", "B /%")}
+    assert all(before.values())
+    told = collect.collect_events(spark, e.where("ticker = 'A'"), texts, b, root, force=True)
+    after = {(n, t): _files(spark, root, n, t) for n, t in before}
+    assert all((before[k] == after[k]) == (k[1] != "A") for k in before)
+    assert {tuple(r) for r in told.collect()} == {(t, day(0), True, True) for t in ("A", "B /%")}
+
+
+def test_forcing_without_results_removes_what_was_stored(spark):
+    root, e, texts, b = _two_entities(spark)
+    told = collect.collect_events(spark, e.where("ticker <> 'A'"), texts.limit(0), b, root, force=True)
+    assert {tuple(r) for r in told.collect()} == {("A", day(0), True, True),
+                                                  ("B /%", day(0), False, True)}
+    assert not _files(spark, root, "texts", "B /%") and _files(spark, root, "bars", "B /%")
+
+
+def test_a_failing_force_leaves_the_store_as_it_was(spark):
+    root, e, texts, b = _two_entities(spark)
+    stored = [sorted(map(tuple, d.collect())) for d in collect.stored_parts(spark, root)]
+    broken = b.withColumn("volume", F.expr("if(date > date'1900-01-01', raise_error('x'), volume)")
+                          .cast("double"))
+    with pytest.raises(Exception):
+        collect.collect_events(spark, e, texts, broken, root, force=True)
+    assert [sorted(map(tuple, d.collect())) for d in collect.stored_parts(spark, root)] == stored
+
+
+def test_filings_from_an_index(spark):
+    arrays = "form array<string>, filingDate array<string>, accessionNumber array<string>, " \
+             "primaryDocument array<string>"
+    recent = spark.createDataFrame(
+        [("1", 0, ["8-K", "10-K", "8-K/A"], ["2024-03-01", "2024-03-01", "bad"], list("abc"), list("xyz")),
+         ("9", 0, ["8-K"], ["2024-03-01"], ["a"], ["x"])], f"cik string, block_no int, {arrays}")
+    older = spark.createDataFrame(
+        [("1", 0, ["10-Q", "10-Q"], ["2020-01-01", "2021-01-01"], ["a", "d"], ["x", "x"])],
+        f"cik string, block_no int, {arrays}")
+    long = " ".join(["word"] * 300)
+    pages = spark.createDataFrame(
+        [("1", "a", 0, "p.htm", "short"), ("1", "a", 1, "q.htm", long), ("9", "a", 0, "p.htm", long)],
+        "cik string, accession string, doc_no int, name string, text string")
+    known = spark.createDataFrame([("A", "1"), ("C", "1"), ("N", None), ("Z", "9")],
+                                  "ticker string, cik string")
+    names = spark.createDataFrame([("a",), ("c",), ("n",), ("a",)], "ticker string")
+    got = collect.filings_from_index(known, recent, [older], pages, names).collect()
+    # The recent block's "a" wins; "b" has another form and "c" no date; "d" has no text.
+    assert sorted((r["ticker"], r["accession"], r["form"], r["text"]) for r in got if r["text"]) == [
+        ("A", "a", "8-K", long), ("C", "a", "8-K", long)]
+    assert sorted((r["ticker"], r["accession"]) for r in got if r["text"] is None) == [
+        ("A", "d"), ("C", "d")]
+    assert collect.filings_from_index(known.limit(0), recent, [older], pages).count() == 0
+
+
 def test_a_store_without_texts_and_with_numeric_tickers(spark):
     texts, b = _store_inputs(spark)
     named = [d.withColumn("ticker", F.lit("0700")) for d in (events(spark, 0), texts, b)]

@@ -79,6 +79,13 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             _stored.remove(path)
 
 
+def remove_folders(spark: SparkSession, addresses: list[str]) -> None:
+    """Delete these folders, given as addresses with escapes, as file metadata names them."""
+    for address in addresses:
+        target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(address))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship_by_value(module: str) -> None:
     """Send the module's Python functions to executors with the task, so that none of them needs
     this package installed."""

@@ -7,20 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas, settings
-from tidemark.runtime import materialize
+from tidemark.runtime import materialize, remove_folders
 
 KEY = list(settings.META_COLUMNS)
 
 
 def write_partitioned(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ("ticker",),
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", only_given: bool = False) -> None:
     """Write ``rows`` partitioned by entity.
 
+    With ``only_given`` an overwrite replaces the partitions that ``rows`` has and no others; new
+    files are staged beside the table and take the old ones' place when the job is committed.
+
     The rebalance hint lets adaptive execution cut a hot entity into several evenly sized files
     and pack many small ones into few tasks, instead of one task per entity.
     """
     (rows.hint("rebalance", *partition_by)
-     .write.mode(mode).partitionBy(*partition_by).parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic" if only_given else "static")
+     .partitionBy(*partition_by).parquet(path))
 
 
 def not_stored(events: DataFrame, stored: DataFrame | None, force: bool = False,
@@ -50,20 +54,36 @@ def append_missing(events: DataFrame, produce, path: str, stored: DataFrame | No
     """Produce and store rows for the events that are not stored yet.
 
     ``produce`` maps an event table to the rows to keep.  With ``force`` the rows of the given
-    events are replaced and all others stay: the new table is first stored whole beside the old
-    one, which is then overwritten from it.
+    events are replaced and all others stay.  Only partitions that hold a given event are read and
+    rewritten; their new content is complete in the shared folder before any of them changes.
     """
-    rows = produce(not_stored(events, stored, force))
-    if force and stored is not None:
-        others = stored.join(events.select(*KEY).distinct(), KEY, "left_anti")
-        rows = materialize(others.unionByName(rows.select(*others.columns)), "replaced")
-    write_partitioned(rows, path, partition_by,
-                      "overwrite" if force or stored is None else "append")
+    if not force or stored is None:
+        rows = produce(not_stored(events, stored, force))
+        write_partitioned(rows, path, partition_by, "overwrite" if stored is None else "append")
+        return
+    given = materialize(events.select(*{*KEY, *partition_by}).distinct(), "forced-events")
+    # Small next to the rows: the optimizer broadcasts it and prunes the scan to its partitions.
+    touched = stored.join(given.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    kept = touched.join(given, KEY, "left_anti").select(*stored.columns)
+    rows = materialize(kept.unionByName(produce(events).select(*stored.columns)), "replaced")
+    # An overwrite leaves partitions alone of which nothing is left, so those are deleted.
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder")
+    emptied = (stored.select(*partition_by, folder).distinct()
+               .join(given.select(*partition_by).distinct(), list(partition_by), "left_semi")
+               .join(rows.select(*partition_by).distinct(), list(partition_by), "left_anti"))
+    gone = [r["folder"] for r in emptied.toLocalIterator()]        # at most one an entity
+    write_partitioned(rows, path, partition_by, only_given=True)
+    remove_folders(events.sparkSession, gone)
 
 
 def build_manifest(events: DataFrame, texts: DataFrame, bars: DataFrame) -> DataFrame:
-    """What is available for each event: ``ticker, event_date, has_text, has_prices``."""
-    return _flags(events.select(*KEY), texts, bars, "left")
+    """What is available for each event: ``ticker, event_date, has_text, has_prices``.
+
+    Events are the given ones and every stored one, so collecting some never hides the others.
+    """
+    keys = [d.select(*KEY) for d in (events, texts, bars)]
+    known = keys[0].unionByName(keys[1]).unionByName(keys[2]).distinct()
+    return _flags(known, texts, bars, "left")
 
 
 def scan_manifest(texts: DataFrame, bars: DataFrame) -> DataFrame:

@@ -325,6 +325,36 @@ def forced_events(v: Views) -> DataFrame:
     return collect.stored_parts(v.spark, root)[1].select(*KEY, "date", "close", "volume")
 
 
+@query
+def forced_manifest(v: Views) -> DataFrame:
+    """The manifest after some of the stored events were collected again: all stay in it."""
+    root, _ = _collect(v)
+    some = v.events.where(F.dayofmonth("event_date") % 3 == 0)
+    return collect.collect_events(v.spark, some, v.filings, v.bars, root, force=True)
+
+
+@query
+def collected_filings(v: Views) -> DataFrame:
+    """From registry payloads, index blocks and documents to the stored texts of all events."""
+    own = v.filings.select(F.lower("ticker").alias("ticker"), F.col("cik").cast("long").alias("cik_str"))
+    payloads = own.distinct().select(
+        F.col("cik_str").alias("ord"),
+        F.to_json(F.create_map(F.lit("0"), F.struct("ticker", "cik_str"))).alias("payload"))
+    known = registry.parse_registry(payloads)
+    known = v.events.select("ticker").distinct().join(       # names as the events write them
+        known.withColumnRenamed("ticker", "_name"), F.upper("ticker") == F.col("_name")).drop("_name")
+    cut = F.lit("2000-01-01").cast("date")
+    pages = v.filings.select("cik", "accession", F.lit(0).alias("doc_no"),
+                             F.lit("primary.htm").alias("name"), "text")
+    filings = collect.filings_from_index(
+        known, v.filing_blocks(v.filings.where(F.col("filing_date") >= cut)),
+        [v.filing_blocks(v.filings.where(F.col("filing_date") < cut))], pages)
+    root = unique_path(v.spark, "raw-store")
+    collect.collect_events(v.spark, v.events, filings, v.bars, root)
+    return collect.stored_parts(v.spark, root)[0].select(
+        *KEY, "accession", "form", "filing_date", "text")
+
+
 @query
 def manifest(v: Views) -> DataFrame:
     return _collect(v)[1]

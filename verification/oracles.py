@@ -437,6 +437,9 @@ def build() -> dict[str, str]:
     out["raw_store"] = out["event_window"]
     out["forced_events"] = f"""select {key}, date, close,
       volume + (day(event_date) % 3 = 0)::int as volume from ({out["event_window"]})"""
+    out["forced_manifest"] = f"""select * from ({manifest})
+      where has_text or has_prices or day(event_date) % 3 = 0"""
+    out["collected_filings"] = out["event_texts"]
     out["newest_first"] = ctes(FILINGS) + """
       select cik, accession, cast(row_number() over (partition by cik order by filing_date desc, ord)
              as int) as position from filings"""
