@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas, settings
 from tidemark.functions.lexicon import TONE_LEXICON, lexicon_table
 from tidemark.functions.text import html_to_text, long_enough, word_count, zero_padded
-from tidemark.operators import curves, documents, fusion, metrics, prices, textual
+from tidemark.operators import curves, documents, fusion, metrics, prices, textual, windows
 from tidemark.plans import collect, features
 from tidemark.runtime import shared_folder, ship_by_value
 from tidemark.sources import filings, market, registry, store
@@ -110,6 +110,39 @@ def test_salting_changes_nothing(spark):
     assert picks[0] == picks[1] and len(picks[0]) == 3
 
 
+def test_heavy_buckets_alone_are_dealt_to_several_tasks(spark):
+    hot = spark.range(20_000).select(F.lit("A").alias("ticker"), F.lit(day(3)).alias("date"), "id")
+    rest = spark.range(20_000).select(
+        F.concat(F.lit("B"), F.col("id") % 400).alias("ticker"),
+        F.date_add(F.lit(day(0)), (F.col("id") % 7).cast("int")).alias("date"), F.col("id") + 20_000)
+    rows = hot.unionByName(rest.toDF("ticker", "date", "id"))
+    e = rows.select("ticker").distinct().withColumn("event_date", F.lit(day(0)))
+    e = e.unionByName(events(spark, 40))
+    options = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        plain, dealt = (windows.rows_around(e, rows, 10, 10, heavy_rows=n) for n in (None, 500))
+        sizes = [sorted(r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect())
+                 for d in (plain, dealt)]
+        assert sizes[0][-1] > 3 * sizes[0][len(sizes[0]) // 2]
+        assert len(sizes[1]) == 8 and sizes[1][-1] <= 3 * sizes[1][4]
+        heavy = windows.heavy_buckets(rows, ["ticker", "date"], 500).collect()
+        assert [tuple(r) for r in heavy] == [("A", day(3), 40)]
+        assert plain.count() == dealt.count() == 40_000
+        assert plain.exceptAll(dealt.select(*plain.columns)).count() == 0
+        assert windows.rows_around(e, rows.limit(0), 10, 10, heavy_rows=1).count() == 0
+        assert windows.rows_around(e.limit(0), rows, 10, 10, heavy_rows=1).count() == 0
+        picks = [windows.rows_around(e, rows, 10, 10, heavy_rows=n).groupBy("ticker").agg(
+            F.sum("id")).collect() for n in (1, 10**9)]
+        assert sorted(picks[0]) == sorted(picks[1])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- events and bars ----------------------------------------------------------------------------
 
 def test_calendar_keeps_wall_time_and_drops_later_today(spark):

@@ -39,13 +39,14 @@ def newest_first(filings: DataFrame) -> DataFrame:
 
 
 def filings_near(events: DataFrame, filings: DataFrame, window_days: int,
-                 causal: bool = False, salts: int = 1) -> DataFrame:
+                 causal: bool = False, salts: int = 1,
+                 heavy_rows: int | None = None) -> DataFrame:
     """Filings at most ``window_days`` calendar days from an event, with their ``gap_days``.
 
     The window is symmetric; ``causal`` keeps only filings up to the event day.
     """
     near = rows_around(events, filings, window_days, window_days + 1, day="filing_date",
-                       salts=salts)
+                       salts=salts, heavy_rows=heavy_rows)
     near = near.withColumn("gap_days", F.abs(F.datediff("filing_date", "event_date")))
     return near.where(F.col("filing_date") <= F.col("event_date")) if causal else near
 
@@ -53,12 +54,13 @@ def filings_near(events: DataFrame, filings: DataFrame, window_days: int,
 def filings_with_fallback(events: DataFrame, filings: DataFrame,
                           window_days: int = settings.FILING_WINDOW_DAYS,
                           fallback_days: int = settings.FILING_FALLBACK_DAYS,
-                          causal: bool = False, salts: int = 1) -> DataFrame:
+                          causal: bool = False, salts: int = 1,
+                          heavy_rows: int | None = None) -> DataFrame:
     """Filings in the narrow window, or in the wide one for events that have none in the narrow.
 
     One interval join; the window over an event holds the filings around it.
     """
-    wide = filings_near(events, filings, fallback_days, causal, salts)
+    wide = filings_near(events, filings, fallback_days, causal, salts, heavy_rows)
     near = F.count_if(F.col("gap_days") <= window_days).over(W.partitionBy(*EVENT))
     return (
         wide.withColumn("_n_near", near)
@@ -71,7 +73,8 @@ def pick_filing(events: DataFrame, filings: DataFrame, payload: Sequence[str],
                 usable: Column, window_days: int = settings.FILING_WINDOW_DAYS,
                 fallback_days: int = settings.FILING_FALLBACK_DAYS,
                 preference: Iterable[str] = settings.FORM_TYPES,
-                causal: bool = False, salts: int = 1) -> DataFrame:
+                causal: bool = False, salts: int = 1,
+                heavy_rows: int | None = None) -> DataFrame:
     """The one filing used for each event, with the ``payload`` columns.
 
     Among the filings of the window (narrow, else wide) the first usable one counts, in the order
@@ -80,7 +83,8 @@ def pick_filing(events: DataFrame, filings: DataFrame, payload: Sequence[str],
     shuffle; events without a pick do not appear.
     """
     forms = ", ".join(f"'{p}'" for p in preference)
-    near = filings_near(events, filings.withColumn("_usable", usable), fallback_days, causal, salts)
+    near = filings_near(events, filings.withColumn("_usable", usable), fallback_days, causal, salts,
+                        heavy_rows)
     ranked = near.selectExpr(
         *EVENT, f"gap_days <= {int(window_days)} as _narrow",
         f"if(_usable and form in ({forms}), struct(array_position(array({forms}), form) as a,"

@@ -22,7 +22,8 @@ def event_filings(events: DataFrame, filings: DataFrame, causal: bool = False) -
     narrow = documents.of_forms(filings).select(
         "ticker", "accession", "form", "filing_date", "ord",
         long_enough(F.col("text")).alias("usable"))
-    return documents.pick_filing(events, narrow, [], F.col("usable"), causal=causal)
+    return documents.pick_filing(events, narrow, [], F.col("usable"), causal=causal,
+                                 heavy_rows=settings.HEAVY_BUCKET_ROWS)
 
 
 def event_texts(events: DataFrame, filings: DataFrame, causal: bool = False) -> DataFrame:

@@ -49,3 +49,6 @@ EXTENT_MARGIN = 0.005
 
 # Values between a median's brackets that one task looks at in the end.
 BRACKET_VALUES = 20_000
+
+# Rows of one entity and time bucket that a task of an interval join takes; more are dealt to several.
+HEAVY_BUCKET_ROWS = 100_000
