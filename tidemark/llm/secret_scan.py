@@ -3,11 +3,13 @@
 Strong patterns are always reported.  Weak candidates (an account name, a short or unnamed secret,
 an endpoint) mean nothing alone; they are reported only where complementary parts lie in the same
 scope.  A part's scope is its interval widened by ``REACH`` code points, and the parts of a text
-are linked by an interval join over their sorted intervals: a weak secret needs an identifier, an
-account name needs a secret, an endpoint needs both.  Intervals never cross texts, so one pass over
-the texts does it, and each part looks only at its neighbours, however many a text has.
+are linked by an interval join over their sorted intervals: a weak secret needs an identifier or an
+endpoint, an account name or an endpoint needs a secret.  An endpoint that holds a weak secret, such
+as a link with a long key in its path, does not complement it.  Intervals never cross texts, so one
+pass over the texts does it, and each part looks only at its neighbours, however many a text has.
 
-Defined results: a null or empty text has no spans; repeated rows stay; ties of start are ordered
+Defined results: a very long text is scanned whole, in time linear in its length but for sorting its
+parts; a null or empty text has no spans; repeated rows stay; ties of start are ordered
 by kind as listed in ``KINDS``; an empty table gives an empty table.  An input column named like
 an output is replaced.
 """
@@ -50,6 +52,7 @@ ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'<>]+|"""
 
 SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 WEAK_WORDS = SECRET_WORDS + ("pwd", "pass")
+ENDPOINT_WORDS = ("://", "host", "endpoint", "server")
 ACCOUNT_WORDS = ("user", "login", "account", "client_id", "access_key_id")
 _AS_HEX = bytes(ord("h") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
 
@@ -106,19 +109,22 @@ def linked_spans(text: str, lower: str, base: dict[str, list[Span]],
     accounts = []
     if any(w in lower for w in ACCOUNT_WORDS):
         accounts = [m.span() for m in ACCOUNT.finditer(text)]
-    if not accounts and not base["access"]:
-        return {}                          # no identifier: nothing complements anything
+    ends = []
+    if any(w in lower for w in ENDPOINT_WORDS):
+        ends = [m.span() for m in ENDPOINT.finditer(text)]
+    if not accounts and not base["access"] and not ends:
+        return {}                          # nothing complements a secret
     strong = Intervals([*base["assign"], *base["hex"]])
     weak = [m.span() for m in UNNAMED.finditer(text) if mixed(m[0])]
     if any(w in lower for w in WEAK_WORDS):
         weak += [m.span() for m in SHORT_SECRET.finditer(text)]
     weak = [s for s in weak if not strong.meets(s)]
-    identifiers = Intervals([*base["access"], *accounts])
-    weak = [s for s in sorted(set(weak)) if identifiers.near(s, reach)]
+    held = Intervals(weak)
+    others = Intervals([*base["access"], *accounts, *(s for s in ends if not held.meets(s))])
+    weak = [s for s in sorted(set(weak)) if others.near(s, reach)]
     secrets = Intervals([*base["assign"], *base["hex"], *weak])
     accounts = [s for s in accounts if secrets.near(s, reach)]
-    ends = [m.span() for m in ENDPOINT.finditer(text)]
-    ends = [s for s in ends if identifiers.near(s, reach) and secrets.near(s, reach)]
+    ends = [s for s in ends if secrets.near(s, reach)]
     return {"account": accounts, "weak": weak, "endpoint": ends}
 
 
