@@ -7,7 +7,6 @@ import re
 import pytest
 from conftest import SMALL
 from odd_rows import none, odd  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, quality, secret_scan, stages, url_filter
