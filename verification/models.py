@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import settings
 from tidemark.operators import curves, models
 from tidemark.plans import evaluate, report, train
 from verification.oracles import PERSISTED
@@ -33,7 +34,7 @@ def model_persistence(v: Views) -> DataFrame:
     per model)."""
     from verification.catalog import unique_path
     path = unique_path(v.spark, "models")
-    trained, test = train.train_all(v.imputed, (1,), PERSISTED["direction"],
+    trained, test = train.train_all(v.imputed, settings.TARGET_HORIZONS, PERSISTED["direction"],
                                     PERSISTED["magnitude"], output=path)
     before = train.score_all(trained, test)
     after = train.score_all(train.load_all(v.spark, path), test)

@@ -451,8 +451,9 @@ def build() -> dict[str, str]:
     out["training_sizes"] = f"""select horizon, count(*) as n, count(*) >= 5 as enough
       from ({observed}) group by horizon"""
     out["model_persistence"] = split + " union all ".join(
-        f"select '{kind}_1d_{model}' as model, count(*) as n, 0::bigint as n_changed from parts "
-        "where not is_train" for kind, models in PERSISTED.items() for model in models)
+        f"select '{kind}_{h}d_{model}' as model, count(*) as n, 0::bigint as n_changed from parts "
+        "where not is_train" for h in (1, 3) for kind, models in PERSISTED.items()
+        for model in models)
 
     # split, scaling, neighbours
     for name, ratio in (("chrono_split", 0.7), ("chrono_split_straddling", 0.613)):
