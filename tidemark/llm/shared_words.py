@@ -9,11 +9,14 @@ a pair at 0.8 shares none with probability (1 - 0.8 ** 5) ** 24, which is 7 in 1
 pair less often.  Candidates are then compared by all their shingles (64-bit hashes of them).
 
 Texts with equal shingles and fingerprint are one row, and only buckets that hold more than one
-class are walked, so copies cost nothing.  The bands are walked in three steps, and what one step has
-linked is one class in the next, so most texts are read for two bands and few for all.  A bucket is walked in its task by whole
-sets; one of more than ``BUCKET_SHINGLES`` is cut into parts, and every pair of parts is a task, so
-no pair is lost and no task holds more.  Where nothing in such a bucket is similar, that work is
-quadratic in its parts, as an exact comparison demands.
+class are walked, so copies cost nothing; of buckets with the same members one is walked.  Which
+buckets these are is found once, on rows without texts, and their members' texts are stored once,
+compressed (hashes would take more room and do not compress).  The bands are walked in three steps,
+and what one step has linked is one class in the next, so most of these texts are sent for two bands
+and few for all.  A bucket is walked in its task by whole sets; one of more than ``BUCKET_SHINGLES``
+is cut into parts, and every pair of parts is a task, so no pair is lost and no task holds more.
+Where nothing in such a bucket is similar, that work is quadratic in its parts, as an exact
+comparison demands.
 
 Defined results: shingles are of words as in operator 9; a text of fewer words is one shingle; one
 without words is similar by its fingerprint only.
@@ -54,9 +57,24 @@ del _rng
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the runs of words."""
     words = text.encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    runs = [b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
-    return np.unique(np.array([digest(r, SEED) for r in runs] if words else [], np.uint64))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    length = min(SHINGLE, len(words))
+    runs = np.full(len(words) - length + 1 if length else 0, SEED, np.uint64)
+    for i in range(length):
+        runs = (runs ^ own[i:i + len(runs)]) * np.uint64(0x9FB21C651E98DF25)
+        runs ^= runs >> np.uint64(32)
+    return np.unique(runs)
+
+
+def pack(text: str) -> bytes:
+    """The text's bytes compressed, behind their number."""
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> str:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, codec="zstd", asbytes=True).decode()
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -127,68 +145,85 @@ def bucket_links(roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, i
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, low, high) to links between roots."""
-    names = "key", "low", "high"
-    held: list[tuple[int, bytes]] = []
+    """Rows sorted by (band, key, low, high) to links between roots."""
+    names = "band", "key", "low", "high"
+    held: list[tuple[int, np.ndarray]] = []
     last = None
 
     def links() -> pa.RecordBatch:
-        found = bucket_links(np.array([r for r, _ in held], np.int64),
-                             [np.frombuffer(s, np.uint64) for _, s in held])
+        found = bucket_links(np.array([r for r, _ in held], np.int64), [s for _, s in held])
         return pa.RecordBatch.from_arrays(
             [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         buckets = zip(*(batch.column(c).to_pylist() for c in names))
         for bucket, root, own in zip(buckets, batch.column("root").to_pylist(),
-                                     batch.column("shingles")):
+                                     batch.column("packed")):
             if bucket != last:
                 if held:
                     yield links()
                 held, last = [], bucket
-            held.append((root, own.as_py()))
+            held.append((root, shingles(unpack(own.as_py()))))
     if held:
         yield links()
 
 
-def similar_links(stored: DataFrame, text: str, units: DataFrame, bands: tuple[int, int],
-                  bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
-    """Links (a, b) between the roots of ``units`` (row_id, n_shingles, bands, root) whose texts are
-    similar and share a key of these bands.
+def mixed_buckets(units: DataFrame) -> DataFrame:
+    """Members (band, key, row_id, fp, n_shingles) of the buckets that hold several roots.
 
-    ``stored`` is a stored table with the texts by ``row_id``.
+    ``units`` has row_id, fp, root, n_shingles and bands.  Buckets are the same if the sums of two
+    hashes of their members are; the one of the first band stands for them, as comparing the same
+    texts again would find nothing new.
     """
-    some = F.slice("bands", bands[0] + 1, bands[1] - bands[0])
-    dealt = units.select("row_id", "root", "n_shingles", F.explode(some).alias("key"))
-    mixed = dealt.groupBy("key").agg(
-        F.sum("n_shingles").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    parts = F.when(F.col("n") > bucket_shingles,
-                   F.ceil(2 * F.col("n") / F.lit(bucket_shingles))).otherwise(1)
-    mixed = mixed.where("low <> high").select("key", parts.cast("int").alias("parts"))
-    members = materialize(dealt.join(mixed, "key").select("key", "row_id", "root", "parts"),
-                          "band-members")
+    dealt = units.select("row_id", "fp", "root", "n_shingles",
+                         F.posexplode("bands").alias("band", "key"))
+    buckets = dealt.groupBy("band", "key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("row_id")).alias("a"),
+        F.bit_xor(F.xxhash64("row_id", F.lit(SEED))).alias("b")).where("low <> high")
+    first = buckets.groupBy("a", "b", "n").agg(
+        F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*")
+    return dealt.join(first, ["band", "key"]).select("band", "key", "row_id", "fp", "n_shingles")
+
+
+def packed_texts(stored: DataFrame, text: str, members: DataFrame) -> DataFrame:
+    """(row_id, packed) of the members."""
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
-        return {"shingles": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
+        return {"packed": pa.array(map(pack, texts), pa.binary())}
 
-    # Stored, so that its size is known before the texts would be shuffled for it.
-    wanted = materialize(members.select("row_id").distinct(), "band-texts")
     texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(
-        wanted, "row_id", "left_semi")
-    sets = map_texts(texts, "text", "shingles binary", run).drop("text")
+        members.select("row_id").distinct(), "row_id", "left_semi")
+    return map_texts(texts, "text", "packed binary", run).drop("text")
+
+
+def similar_links(texts: DataFrame, members: DataFrame,
+                  bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
+    """Links (a, b) between the roots of ``members`` whose texts are similar and share a bucket.
+
+    ``texts`` has the packed texts by ``row_id``; ``members`` those of ``mixed_buckets`` with their
+    present ``root``.
+    """
+    buckets = members.groupBy("band", "key").agg(
+        F.sum("n_shingles").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = F.when(F.col("n") > bucket_shingles,
+                   F.ceil(2 * F.col("n") / F.lit(bucket_shingles))).otherwise(1)
+    buckets = buckets.where("low <> high").select("band", "key", parts.cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("low"),
                                                          F.lit(0).alias("high"))))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))
     pairs = pairs.otherwise(F.transform(others, lambda x: F.struct(
         F.least(x, "part").alias("low"), F.greatest(x, "part").alias("high"))))
-    placed = members.withColumn("part", part).select(
-        "key", "row_id", "root", F.explode(pairs).alias("p")).select(
-        "key", "p.low", "p.high", "row_id", "root")
-    placed = placed.join(sets, "row_id").repartition("key", "low", "high").sortWithinPartitions(
-        "key", "low", "high")
-    return placed.select("key", "low", "high", "root", "shingles").mapInArrow(
-        _walk, "a long, b long")
+    dealt = members.join(buckets, ["band", "key"]).withColumn("part", part).select(
+        "row_id", "root", "band", "key", "parts", "part")
+    # Merged at every size, as the list of members grows with the input.
+    placed = texts.join(dealt.hint("merge"), "row_id").select(
+        "band", "key", "root", "packed", F.explode(pairs).alias("p")).select(
+        "band", "key", "p.low", "p.high", "root", "packed")
+    bucket = "band", "key", "low", "high"
+    placed = placed.repartition(*bucket).sortWithinPartitions(*bucket)
+    return placed.mapInArrow(_walk, "a long, b long")
 
 
 def near_duplicates(stored: DataFrame, text: str, key: Column,
@@ -196,7 +231,7 @@ def near_duplicates(stored: DataFrame, text: str, key: Column,
     """(fp, component): for every fingerprint of ``stored`` the smallest ``key`` of its class.
 
     The bands are walked in ``STEPS``.  What the first ones link is one class for the later ones,
-    which therefore read only the texts of buckets that still hold several classes.
+    which therefore get only the texts of buckets that still hold several classes.
     """
     classes = stored.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(key).alias("least"))
     classes = materialize(classes, "fingerprint-classes")
@@ -204,11 +239,14 @@ def near_duplicates(stored: DataFrame, text: str, key: Column,
     # Texts with equal shingles are one row; the other rows of theirs have the same fingerprint.
     units = stored.where("n_shingles > 0").groupBy(
         F.col("fingerprint_bits").alias("fp"), "set_a", "set_b").agg(F.min("row_id").alias("row_id"))
-    units = materialize(stored.select("row_id", "n_shingles", "bands").join(
-        units.select("row_id", "fp"), "row_id"), "band-units")
-    for bands in zip(STEPS, STEPS[1:]):
-        linked = components(similar_links(stored, text, units.join(roots, "fp"), bands,
-                                          bucket_shingles)).select(
+    units = stored.select("row_id", "n_shingles", "bands").join(
+        units.select("row_id", "fp"), "row_id")
+    units = materialize(units.join(roots, "fp"), "band-units")
+    members = materialize(mixed_buckets(units), "band-members")
+    texts = materialize(packed_texts(stored, text, members), "band-texts")
+    for low, high in zip(STEPS, STEPS[1:]):
+        some = members.where((F.col("band") >= low) & (F.col("band") < high)).join(roots, "fp")
+        linked = components(similar_links(texts, some, bucket_shingles)).select(
             "node", F.col("root").alias("joined"))
         roots = materialize(roots.join(linked, F.col("root") == F.col("node"), "left").select(
             "fp", F.coalesce("joined", "root").alias("root")), "fingerprint-roots")
