@@ -183,7 +183,8 @@ def mixed_buckets(units: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("row_id", F.lit(SEED))).alias("b")).where("low <> high")
     first = buckets.groupBy("a", "b", "n").agg(
         F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*")
-    return dealt.join(first, ["band", "key"]).select("band", "key", "row_id", "fp", "n_shingles")
+    # Merged at every size, as the number of such buckets grows with the input.
+    return dealt.join(first.hint("merge"), ["band", "key"]).select("band", "key", "row_id", "fp", "n_shingles")
 
 
 def packed_texts(stored: DataFrame, text: str, members: DataFrame) -> DataFrame:
@@ -192,8 +193,10 @@ def packed_texts(stored: DataFrame, text: str, members: DataFrame) -> DataFrame:
     def run(texts: list[str]) -> dict[str, pa.Array]:
         return {"packed": pa.array(map(pack, texts), pa.binary())}
 
+    # Stored, so that its size is known before the texts would be shuffled for it.
+    wanted = materialize(members.select("row_id").distinct(), "band-wanted")
     texts = stored.select("row_id", F.col(f"`{text}`").alias("text")).join(
-        members.select("row_id").distinct(), "row_id", "left_semi")
+        wanted, "row_id", "left_semi")
     return map_texts(texts, "text", "packed binary", run).drop("text")
 
 
