@@ -73,7 +73,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Only the stored rows and the keepers are read from here on.
     kept = set(stored.inputFiles() + keepers.inputFiles())
     discard(spark, [p for p in own if not any(f"{p}/" in f for f in kept)])
-    return brought_back(stored.join(keepers, "row_id", "left_semi"), names)
+    # Merged at every size, as the keepers grow with the input.
+    return brought_back(stored.join(keepers.hint("merge"), "row_id", "left_semi"), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
