@@ -572,3 +572,30 @@ def test_coefficient_ranking(spark):
     got = curves.coefficient_ranking(spark, "m", [0.5, -0.1, -2.0], ("a", "b", "c")).collect()
     assert [r["feature"] for r in got] == ["b", "a", "c"]
     assert curves.coefficient_ranking(spark, "m", [1.0], ("a", "b")) is None
+
+
+def _counted(spark, rows):
+    """``rows`` and an accumulator of how many of them were worked out so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(name):
+        seen.add(1)
+        return name
+
+    return rows.withColumn("ticker", F.udf(pass_on, "string").asNondeterministic()("ticker")), seen
+
+
+def test_collecting_works_out_its_events_once(spark):
+    texts, b = _store_inputs(spark)
+    root = f"{shared_folder(spark)}/edge-{dt.datetime.now().timestamp()}"
+    for force in (False, True):
+        once, seen = _counted(spark, events(spark, 0, -20))
+        told = collect.collect_events(spark, once, texts, b, root, force=force)
+        assert told.count() == 2 and seen.value == 2
+
+
+def test_stored_texts_have_the_schema_of_the_chosen_ones(spark):
+    texts, _ = _store_inputs(spark)
+    e = events(spark, 0)
+    told = [(f.name, f.dataType) for f in features.event_texts_schema(e, texts)]
+    assert told == [(f.name, f.dataType) for f in features.event_texts(e, texts).schema]

@@ -53,15 +53,19 @@ def collect_events(spark: SparkSession, events: DataFrame, filings: DataFrame, b
     Layout: ``texts`` (one row per event with a text), ``bars`` (the bar window of each event) and
     ``manifest``.  A second call without ``force`` only works on new events; with it the rows of the
     given events are replaced.  The manifest covers all stored events and those of this call.
+
+    The events are stored first: every join with them reads them several times, and each time would
+    work out again whatever they are derived from.
     """
+    events = materialize(events, "events")
     parts = {
-        "texts": lambda e: features.event_texts(e, filings, causal),
-        "bars": lambda e: prices.event_bars(e, bars),
+        "texts": (lambda e: features.event_texts(e, filings, causal),
+                  features.event_texts_schema(events, filings)),
+        "bars": (lambda e: prices.event_bars(e, bars), prices.event_bars(events, bars).schema),
     }
     stored = {}
-    for name, produce in parts.items():
+    for name, (produce, schema) in parts.items():
         path = f"{root}/{name}"
-        schema = produce(events.limit(0)).schema
         present = store.read_if_stored(spark, path, schema)
         store.append_missing(events, produce, path, present, force)
         stored[name] = spark.read.schema(schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import settings
 from tidemark.functions.text import long_enough
@@ -38,6 +39,12 @@ def event_texts(events: DataFrame, filings: DataFrame, causal: bool = False) ->
         *EVENT, "accession", "form", "filing_date", "text")
 
 
+def event_texts_schema(events: DataFrame, filings: DataFrame) -> StructType:
+    """The columns of ``event_texts``, known without choosing anything."""
+    return StructType([events.schema[c] for c in EVENT] + [
+        filings.schema[c] for c in ("accession", "form", "filing_date", "text")])
+
+
 def _pickable(filings: DataFrame) -> DataFrame:
     """Key and text of the filings that may be chosen; both filters run in the scan."""
     wanted = filings.where(F.col("form").isin(*settings.FORM_TYPES))

@@ -304,8 +304,17 @@ def matrix_csv(v: Views) -> DataFrame:
 
 
 def _collect(v: Views) -> tuple[str, DataFrame]:
+    return _collect_from(v, v.events, v.bars)
+
+
+def _collect_from(v: Views, events: DataFrame, bars: DataFrame) -> tuple[str, DataFrame]:
     root = unique_path(v.spark, "raw-store")
-    return root, collect.collect_events(v.spark, v.events, v.filings, v.bars, root)
+    return root, collect.collect_events(v.spark, events, v.filings, bars, root)
+
+
+def _read_twice(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Events and bars, stored for queries that collect from them twice."""
+    return materialize(v.events, "events"), materialize(v.bars, "bars")
 
 
 @query
@@ -318,9 +327,10 @@ def raw_store(v: Views) -> DataFrame:
 @query
 def forced_events(v: Views) -> DataFrame:
     """All events stored, then some of them again from bars with other volumes."""
-    root, _ = _collect(v)
-    changed = v.bars.withColumn("volume", F.col("volume") + 1)
-    some = v.events.where(F.dayofmonth("event_date") % 3 == 0)
+    events, bars = _read_twice(v)
+    root, _ = _collect_from(v, events, bars)
+    changed = bars.withColumn("volume", F.col("volume") + 1)
+    some = events.where(F.dayofmonth("event_date") % 3 == 0)
     collect.collect_events(v.spark, some, v.filings, changed, root, force=True)
     return collect.stored_parts(v.spark, root)[1].select(*KEY, "date", "close", "volume")
 
@@ -328,9 +338,10 @@ def forced_events(v: Views) -> DataFrame:
 @query
 def forced_manifest(v: Views) -> DataFrame:
     """The manifest after some of the stored events were collected again: all stay in it."""
-    root, _ = _collect(v)
-    some = v.events.where(F.dayofmonth("event_date") % 3 == 0)
-    return collect.collect_events(v.spark, some, v.filings, v.bars, root, force=True)
+    events, bars = _read_twice(v)
+    root, _ = _collect_from(v, events, bars)
+    some = events.where(F.dayofmonth("event_date") % 3 == 0)
+    return collect.collect_events(v.spark, some, v.filings, bars, root, force=True)
 
 
 @query
@@ -341,7 +352,8 @@ def collected_filings(v: Views) -> DataFrame:
         F.col("cik_str").alias("ord"),
         F.to_json(F.create_map(F.lit("0"), F.struct("ticker", "cik_str"))).alias("payload"))
     known = registry.parse_registry(payloads)
-    known = v.events.select("ticker").distinct().join(       # names as the events write them
+    events = materialize(v.events, "events")
+    known = events.select("ticker").distinct().join(       # names as the events write them
         known.withColumnRenamed("ticker", "_name"), F.upper("ticker") == F.col("_name")).drop("_name")
     cut = F.lit("2000-01-01").cast("date")
     pages = v.filings.select("cik", "accession", F.lit(0).alias("doc_no"),
@@ -350,7 +362,7 @@ def collected_filings(v: Views) -> DataFrame:
         known, v.filing_blocks(v.filings.where(F.col("filing_date") >= cut)),
         [v.filing_blocks(v.filings.where(F.col("filing_date") < cut))], pages)
     root = unique_path(v.spark, "raw-store")
-    collect.collect_events(v.spark, v.events, filings, v.bars, root)
+    collect.collect_events(v.spark, events, filings, v.bars, root)
     return collect.stored_parts(v.spark, root)[0].select(
         *KEY, "accession", "form", "filing_date", "text")
 
