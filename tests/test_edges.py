@@ -599,3 +599,18 @@ def test_stored_texts_have_the_schema_of_the_chosen_ones(spark):
     e = events(spark, 0)
     told = [(f.name, f.dataType) for f in features.event_texts_schema(e, texts)]
     assert told == [(f.name, f.dataType) for f in features.event_texts(e, texts).schema]
+
+
+def test_matrix_works_out_its_events_once(spark):
+    texts, b = _store_inputs(spark)
+    once, seen = _counted(spark, events(spark, 0, -20))
+    assert features.raw_matrix(once, texts, b).count() == 2 and seen.value == 2
+
+
+def test_text_features_of_repeated_and_unnamed_filings(spark):
+    texts, _ = _store_inputs(spark)
+    plain = features.event_text_features(events(spark, 0), texts).collect()
+    assert len(plain) == 1
+    unnamed = texts.withColumn("accession", F.lit(None).cast("string"))
+    for odd in (texts.unionByName(texts), unnamed.unionByName(unnamed)):
+        assert features.event_text_features(events(spark, 0), odd).collect() == plain

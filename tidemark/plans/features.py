@@ -56,8 +56,9 @@ def event_text_features(events: DataFrame, filings: DataFrame,
                         causal: bool = False) -> DataFrame:
     """The eight text features of each event that has a usable filing.
 
-    The bundled scorer is cheap, so it runs in the scan of the filings and no text is ever
-    shuffled.  Any other scorer runs after the choice, on the chosen filings only.
+    Filings are chosen on narrow rows and stored; only the chosen ones' texts are scored.  With the
+    bundled scorer that is a projection over them and no text is ever shuffled, as long as the picks
+    are small enough to be broadcast.
     """
     scorer = scorer or textual.LexiconScorer()
     if not isinstance(scorer, textual.LexiconScorer):
@@ -68,15 +69,18 @@ def event_text_features(events: DataFrame, filings: DataFrame,
             "filing.*", *settings.TEXT_FEATURES)
         return picks.join(features, FILING).select(*EVENT, *settings.TEXT_FEATURES)
 
-    pickable = F.col("form").isin(*settings.FORM_TYPES)
-    candidates = documents.of_forms(filings).select(
+    narrow = documents.of_forms(filings).select(
         "ticker", "accession", "form", "filing_date", "ord",
-        (pickable & long_enough(F.col("text"))).alias("usable"), "text")
-    scored = scorer.in_place(
-        candidates.withColumn("text", F.when(F.col("usable"), F.col("text")))).drop("text")
-    picks = documents.pick_filing(events, scored, settings.TEXT_FEATURES, F.col("usable"),
-                                  causal=causal)
-    return picks.select(*EVENT, *settings.TEXT_FEATURES)
+        long_enough(F.col("text")).alias("usable"))
+    picks = materialize(documents.pick_filing(events, narrow, ["ord"], F.col("usable"),
+                                              causal=causal), "picks")
+    # An entry of the filings is known by all these; rows equal in them are one entry.
+    entry = F.struct("ticker", "accession", "form", "filing_date", "ord").alias("entry")
+    wanted = picks.select(entry).distinct()
+    chosen = filings.select(entry, "text").join(wanted, "entry", "left_semi")
+    scored = scorer.in_place(chosen.where(long_enough(F.col("text"))))
+    features = scored.groupBy("entry").agg(F.min(F.struct(*settings.TEXT_FEATURES)).alias("f"))
+    return picks.select(*EVENT, entry).join(features, "entry").select(*EVENT, "f.*")
 
 
 def event_price_features(events: DataFrame, bars: DataFrame,
@@ -87,7 +91,11 @@ def event_price_features(events: DataFrame, bars: DataFrame,
 def raw_matrix(events: DataFrame, filings: DataFrame, bars: DataFrame,
                scorer: textual.TextScorer | None = None,
                horizons=settings.TARGET_HORIZONS, causal: bool = False) -> DataFrame:
-    """The fused matrix before imputation."""
+    """The fused matrix before imputation.
+
+    The events are stored first, as every part of the matrix reads them several times.
+    """
+    events = materialize(events, "events")
     return fusion.fuse(events, event_text_features(events, filings, scorer, causal),
                        event_price_features(events, bars, horizons), horizons)
 
