@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import settings
-from tidemark.functions.text import word_count
+from tidemark.functions.text import long_enough
 from tidemark.operators.windows import rows_around
 from tidemark.runtime import materialize
 
@@ -107,12 +107,12 @@ def primary_or_alternate(documents: DataFrame, key: str = "accession",
     text of enough words is taken; else the first other ``.htm``/``.html`` document with enough
     words in listed order; else the short primary text.  Without a primary text there is nothing.
     """
-    words = word_count(F.col("text"))
+    enough = long_enough(F.col("text"), min_words) if min_words > 0 else F.lit(True)
     primary = F.col("doc_no") == 0
     page = F.col("name").endswith(".htm") | F.col("name").endswith(".html")
     choice = (
-        F.when(primary & (words >= min_words), 0)
-        .when(~primary & page & (words >= min_words), 1)
+        F.when(primary & enough, 0)
+        .when(~primary & page & enough, 1)
         .when(primary & (F.length("text") > 0), 2)
     )
     order = F.when(choice.isNotNull(), F.struct(choice, F.col("doc_no")))
