@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL
 
 from tidemark.llm import shared_words, stages
+from tidemark.llm.common import worker_store
 
 
 def plain_set(text):
@@ -91,3 +92,12 @@ def test_stage_against_brute_force(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = sorted(x.doc_id for x in stages.near_duplicates(spark, df, SMALL).collect())
     assert kept == [d.doc_id for i, d in enumerate(docs) if name[i] == i]
+
+
+def test_near_duplicates_release_what_other_operators_cached(monkeypatch):
+    made = {}
+    monkeypatch.setattr(shared_words, "map_texts", lambda *args: made.update(run=args[-1]))
+    shared_words.with_bands(None)
+    worker_store()["cache"] = list(range(1000))
+    made["run"](["a b c d e f"])
+    assert not worker_store()

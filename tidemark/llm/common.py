@@ -32,6 +32,12 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def release_caches() -> None:
+    """Drop what operators before have cached in this worker, as it is kept with the worker and
+    would stand beside the memory of a stage that needs much of its own."""
+    worker_store().clear()
+
+
 class PieceCache:
     """Values of pre-tokens, computed once each and for many at a time.
 

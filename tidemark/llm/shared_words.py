@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import map_texts, release_caches
 from tidemark.llm.components import components
 from tidemark.runtime import materialize, ship_by_value
 
@@ -94,6 +94,7 @@ def with_bands(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with fingerprint_bits, two hashes of the set of shingles, its size and its keys."""
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
+        release_caches()
         sets = [shingles(t) for t in texts]
         bits = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
         a, b = (np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64)
